@@ -1 +1 @@
-
+"""Relational operators over documents, claims, leads, runs and transcripts."""

@@ -1 +1 @@
-
+"""Readers of landed files: feeds, captions, sitting records, artifacts."""
