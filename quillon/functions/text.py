@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space as Python's str.split() takes it; Java's \s alone is ASCII.
-SPACE = r"[\s\x1c-\x1f\x85\xa0  -     　]"
+SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def strip(c: Column) -> Column:
