@@ -95,7 +95,7 @@ def invert(text: str, chain: tuple[tuple[str, str], ...]) -> str | None:
 
 TOKEN = re.compile(r"[^ \n\t\r]*[^\x00-\x7f ][^ \n\t\r]*")
 _PLAIN = re.compile(r"[\x20-\x7eàâäçéèêëîïôöùûüÿœæÀÂÄÇÉÈÊËÎÏÔÖÙÛÜŸŒÆ«»‘’“”–—·•→©]+")
-_LOWER_AFTER_UPPER = re.compile(r"[a-zàâçéèêëîïôùûœ][ÀÂÄÇÉÈÊËÎÏÔÖÙÛÜŸŒÆ]|[ÀÂÄÈÊËÎÏÔÖÙÛÜŸ][a-z]")
+_MIXED_CASE = re.compile("[a-z\u00e0-\u00f6\u00f8-\u00ff\u0153][\u00c0-\u00d6\u00d8-\u00de\u0152\u0178]")
 
 
 def _bigrams(word: str) -> np.ndarray:
@@ -120,6 +120,7 @@ class Model:
                     np.add.at(counts[k], _bigrams(g), 1.0)
         self.log = (np.log(counts) - np.log(counts.sum(1, keepdims=True))).astype(np.float32)
         self.clean_bigrams = counts[0] > 0.5
+        self.letters = {w for w in clean if len(w) == 1 and w.isalpha()}
 
     def ranked(self, word: str) -> list[int]:
         """All chains, the likeliest first."""
@@ -151,17 +152,18 @@ class Detector:
         if "\ufffd" in word:
             return word
         m = self.model
-        plain = _PLAIN.fullmatch(word) and not _LOWER_AFTER_UPPER.search(word)
-        if plain and m.clean_bigrams[_bigrams(word)].all():
+        # an accented capital after a small letter is no clean word's way
+        strange = _MIXED_CASE.search(word) is not None
+        if _PLAIN.fullmatch(word) and not strange and m.clean_bigrams[_bigrams(word)].all():
             return None
         now = m.fit_of(word)
         # look-alike letters, other spaces and compatibility forms are no matter of encodings
         other = base_form(word)
-        disguised = all(ch.isascii() or ch in LOOK or _PLAIN.fullmatch(ch) for ch in other)
-        letters = other.strip(".,;:!?()\u00ab\u00bb\"'").replace("-", "").replace("'", "").isalpha() and any(ch in LOOK for ch in other)
+        disguised = (other != word or any(ch in LOOK for ch in other)) and all(ch.isascii() or ch in LOOK or _PLAIN.fullmatch(ch) for ch in other)
+        letters = other.strip(".,;:!?()\u00ab\u00bb\"'").replace("-", "").replace("'", "").isalpha() and any(ch in LOOK for ch in other) and any(ch.isascii() and ch.isalpha() for ch in other)
         for k in m.ranked(word):
             if k == 0:
-                if now > -9.0:
+                if now > -9.0 and not strange and len(word) > 1:
                     return None
                 continue
             chain = CHAINS[k]
@@ -173,7 +175,7 @@ class Detector:
                 ok = got is not None and got != word and got.isprintable() and m.fit_of(got) - now > -2.0 and not (disguised and letters)
             else:
                 got = None if disguised else invert(word, chain)
-                ok = got is not None and got != word and all(ch.isascii() or _PLAIN.fullmatch(ch) for ch in got) and not _LOWER_AFTER_UPPER.search(got) and m.fit_of(got) - now > 1.5
+                ok = got is not None and got != word and all(ch.isascii() or _PLAIN.fullmatch(ch) for ch in got) and not _MIXED_CASE.search(got) and m.fit_of(got) - now > (0.0 if strange or got in m.letters else 1.5)
             if ok:
                 return got
         return None
@@ -206,7 +208,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     for r in rows:
         words.update(TOKEN.findall(r["text"]))
     undo = [c for c in CHAINS if c and c[0][0] == "utf-8"]
-    keep = [w for w in sorted(words) if _PLAIN.fullmatch(w) and not _LOWER_AFTER_UPPER.search(w) and not any((g := invert(w, c)) is not None and g != w for c in undo)]
+    keep = [w for w in sorted(words) if _PLAIN.fullmatch(w) and not _MIXED_CASE.search(w) and not any((g := invert(w, c)) is not None and g != w for c in undo)]
     return Model(keep)
 
 

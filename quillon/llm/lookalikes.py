@@ -37,11 +37,12 @@ LOOK = dict(zip(
     strict=True,
 ))
 
-SPACES = "   -     　"
-IGNORABLE = "­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ￹-￻\U000e0000-\U000e0fff"
+SPACES = "\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+IGNORABLE = "\xad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\ufff9-\ufffb\U000e0000-\U000e0fff"
 _SPACE, _IGNORE = re.compile(f"[{SPACES}]"), re.compile(f"[{IGNORABLE}]")
 _OTHER = re.compile("[Ͱ-֏Ꭰ-᏿Ⲁ-⳿]")
-_WORD = re.compile(r"[^\W\d_]+")
+#: Words with their elisions, as in l'été; the apostrophe parts no word from its article.
+_WORD = re.compile(r"[^\W\d_]+(?:['\u2019][^\W\d_]+)*")
 
 
 def base_form(text: str) -> str:
@@ -69,7 +70,7 @@ def _pairs(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Counts of pairs of letters of one script, of a batch of text."""
     for pdf in pdfs:
         texts = [t for t in pdf["text"] if t]
-        raw = np.frombuffer("\n".join(texts).lower().encode("utf-32-le", "replace"), np.uint32)
+        raw = np.frombuffer("\n".join(["", *texts, ""]).lower().encode("utf-32-le", "replace"), np.uint32)
         cp = np.where(raw < ALPHABET, raw, 0).astype(np.int32)
         script = _SCRIPTS[cp]
         # 0 stands for the edge of a word
@@ -125,7 +126,7 @@ class Lattice:
 
         def word(m: re.Match) -> str:
             w = m.group()
-            if not _OTHER.search(w) or all(_OTHER.match(c) for c in w):
+            if not _OTHER.search(w) or all(_OTHER.match(c) or not c.isalpha() for c in w):
                 return w
             return self.best(w)
 
