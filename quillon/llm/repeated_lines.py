@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 WINDOW = 8
 #: Bits of the rolling hash that must be zero at a cut: chunks of 2**6 bytes on average.
 CUT_BITS = 6
+#: Bytes of text whose hashes are computed together.
+AT_ONCE = 1 << 20
 
 _RNG = np.random.default_rng(20240229)
 _GEAR = _RNG.integers(0, 2**32, 256, dtype=np.uint64).astype(np.uint32)
@@ -44,10 +46,26 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def chunk_lines(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For each line its content-defined chunks: (index of line, 64-bit hash of chunk), in order."""
-    if not lines:
+def chunk_lines(lines: list[bytes], at_once: int = AT_ONCE) -> tuple[np.ndarray, np.ndarray]:
+    """For each line its content-defined chunks: (index of line, 64-bit hash of chunk), in order.
+
+    Lines are taken together up to `at_once` bytes, so the arrays stay small whatever a batch holds.
+    """
+    out, first = [], 0
+    while first < len(lines):
+        last, size = first, 0
+        while last < len(lines) and (size == 0 or size + len(lines[last]) <= at_once):
+            size += len(lines[last]) + WINDOW
+            last += 1
+        at, chunk = _chunk_lines(lines[first:last])
+        out.append((at + first, chunk))
+        first = last
+    if not out:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
+    return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+
+
+def _chunk_lines(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     pad = b"\x00" * WINDOW
     buf = np.frombuffer(pad + pad.join(lines) + pad, np.uint8)
     size = np.fromiter(map(len, lines), np.int64, len(lines))
