@@ -2,13 +2,14 @@
 
 Method: chosen-path join. In each of RUNS runs a document follows the shared tokens (shingles) whose
 hash falls below BRANCH / size of its set: level one splits all documents on such tokens, and a bucket
-with more than LIMIT documents is split again on further tokens, down to LEVELS. Small buckets are
-compared by brute force, larger ones that remain at the last level by brute force in blocks of LIMIT
-rows against each other, so nothing is dropped and no task holds a whole bucket. Pairs whose 256-bit
-minhash sketches agree far less than the threshold asks are left out (a margin of about 3.5 standard
-deviations); the others are verified on the full sets. At similarity 0.5 a run finds a pair with a
-probability of 0.63 to 0.74, so eight runs leave out less than 4 in 10,000; more similar pairs are
-found more surely.
+with more than LIMIT documents is split again on further tokens, level by level. The levels of BRANCH
+are made in one pass over the texts; documents whose bucket is larger than BLOCK after them go on from
+there in a further pass over these documents only, up to PASSES. The other buckets are compared by
+brute force, and what remains after the last pass by brute force in blocks of BLOCK rows against each
+other, so nothing is dropped and no task holds a whole bucket. Pairs whose 256-bit minhash sketches
+agree far less than the threshold asks are left out (a margin of about 3.5 standard deviations); the
+others are verified on the full sets. A pair of similarity 0.5 shares 4 / 3 chosen tokens a run at
+level one, and as many below each large bucket it shares; the more runs, the surer it is found.
 
 Documents with equal sets of shingles form a class; only one representative of each goes through the
 join. The results are classes and links between representatives, and, where asked, all pairs.
@@ -24,9 +25,11 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +37,11 @@ from pyspark.sql import functions as F
 from quillon.session import cut
 from quillon.skew import join_counted
 
-RUNS, BRANCH, LEVELS, LIMIT = 8, 2.0, 3, 64
+RUNS, BRANCH, PASSES, LIMIT, BLOCK = 6, (2.0, 2.0, 1.0, 1.0), 4, 200, 2000
+#: Texts whose sets are computed together.
+AT_ONCE = 500
+#: Keys are broadcast up to this number (8 MB), beyond it they are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
 SKETCH_BITS = 256
 
 _WORDS = re.compile(r"[^\W_]+")
@@ -92,40 +99,76 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(bit.astype(np.uint8)).view(">i8").astype(np.int64)
 
 
-def paths(tokens: np.ndarray, runs: int, branch: float, levels: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each level (path above, path): the chosen paths of all runs; a path's number stands for run and tokens."""
-    below = _U(min(int(branch / len(tokens) * 2.0**64), 2**64 - 1))
-    at = _mix(np.arange(1, runs + 1, dtype=np.uint64) * _U(1000003))
+def paths(tokens: np.ndarray, roots: np.ndarray, branch: tuple[float, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each level (place of the path above, token): the chosen paths below all roots; at level one the place is that of the root."""
+    t = (tokens >> _U(32)).astype(np.uint32)
+    seed = (roots.astype(np.uint64) * _U(0x9E3779B97F4A7C15) >> _U(31)).astype(np.uint32)
     out = []
-    for _ in range(levels):
+    for width in branch:
+        below = np.uint32(min(int(width / len(tokens) * 2.0**32), 2**32 - 1))
         with np.errstate(over="ignore"):
-            key = _mix(tokens[None, :] ^ at[:, None])
-            p, t = np.nonzero(key <= below)
-            down = _mix(key[p, t] + tokens[t])
-        out.append((at[p], down))
-        at = down
+            h = (t[None, :] ^ seed[:, None]) * np.uint32(0x85EBCA6B)
+            h ^= h >> np.uint32(13)
+            h *= np.uint32(0xC2B2AE35)
+            h ^= h >> np.uint32(16)
+            p, i = np.nonzero(h <= below)
+            chosen = t[i]
+            seed = (seed[p] * np.uint32(0x27D4EB2F) + np.uint32(0x165667B1)) ^ (chosen * np.uint32(0x9E3779B1))
+        out.append((p.astype(np.int16), chosen.view(np.int32)))
     return out
 
 
-def _signed_schema(levels: int) -> str:
-    return "doc_id long, n int, d1 long, d2 long, s array<long>, " + ", ".join(f"up{i} array<long>, key{i} array<long>" for i in range(1, levels + 1))
+def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else [], kind))
 
 
-def signed(docs: DataFrame, shape: Shape, runs: int = RUNS, branch: float = BRANCH, levels: int = LEVELS) -> DataFrame:
-    """Each document's size of set, digest of set, sketch and chosen paths."""
-    names = ["doc_id", "n", "d1", "d2", "s", *[f"{w}{i}" for i in range(1, levels + 1) for w in ("up", "key")]]
+def signed(docs: DataFrame, shape: Shape, branch: tuple[float, ...] = BRANCH) -> DataFrame:
+    """Each document's size of set, digest of set (d1, d2), sketch (s0 to s3), roots and chosen paths below them (place pI, token tI).
 
-    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
-            rows = []
-            for doc, toks in zip(pdf["doc_id"], shingle_sets(pdf["text"].tolist(), shape)):
-                if toks is not None:
-                    d1, d2 = np.frombuffer(xxhash.xxh3_128_digest(toks.tobytes()), ">i8").tolist()
-                    tree = [x.view(np.int64) for pair in paths(toks, runs, branch, levels) for x in pair]
-                    rows.append((doc, len(toks), d1, d2, sketch(toks), *tree))
-            yield pd.DataFrame(rows, columns=names)
-
-    return docs.select("doc_id", "text").mapInPandas(run, _signed_schema(levels))
+    docs: (doc_id, text, roots array<long>): the runs at first, later the buckets to be split.
+    """
+    schema = "doc_id long, n int, d1 long, d2 long, s0 long, s1 long, s2 long, s3 long, roots array<long>, " + ", ".join(f"p{i} array<smallint>, t{i} array<int>" for i in range(1, len(branch) + 1))
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids, roots = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_pylist()
+        sets = shingle_sets(batch.column(1).to_pylist(), shape)
+        use = [k for k, x in enumerate(sets) if x is not None]
+        digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(sets[k].tobytes()) for k in use), ">i8").astype(np.int64).reshape(-1, 2)
+        bits = np.array([sketch(sets[k]) for k in use], np.int64).reshape(-1, 4)
+        start = [np.array(roots[k], np.int64) for k in use]
+        trees = [paths(sets[k], r.view(np.uint64), branch) for k, r in zip(use, start)]
+        cols = [pa.array(ids[use].astype(np.int64)), pa.array(np.array([len(sets[k]) for k in use], np.int32))]
+        cols += [pa.array(np.ascontiguousarray(x[:, j])) for x in (digest, bits) for j in range(x.shape[1])]
+        cols.append(_lists(start, pa.int64()))
+        for level in range(len(branch)):
+            cols += [_lists([x[level][0] for x in trees], pa.int16()), _lists([x[level][1] for x in trees], pa.int32())]
+        return pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in schema.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, AT_ONCE):
+                yield rows(batch.slice(at, AT_ONCE))
+
+    return docs.select("doc_id", "text", "roots").mapInArrow(run, schema)
+
+
+def _level(reps: DataFrame, i: int) -> DataFrame:
+    """(doc_id, n, s0 ..., up, key): the paths of level i; a key is a hash of its run and tokens."""
+    at = reps.select("*", F.explode(F.arrays_zip(F.col(f"p{i}").alias("p"), F.col(f"t{i}").alias("t"))).alias("x"))
+    places = F.col("x.p")
+    chain = [(F.col("x.p"), F.col("x.t"))]
+    for j in range(i - 1, 0, -1):
+        chain.append((F.get(f"p{j}", places), F.get(f"t{j}", places)))
+        places = F.get(f"p{j}", places)
+    keys = [F.get("roots", chain[-1][0])]
+    for _, token in reversed(chain):
+        keys.append(F.xxhash64(keys[-1], token))
+    return at.select("doc_id", "n", "s0", "s1", "s2", "s3", keys[-2].alias("up"), keys[-1].alias("key"))
+
+
+def _semi(rows: DataFrame, keys: DataFrame, n_keys: int, on: str) -> DataFrame:
+    return rows.join(F.broadcast(keys) if n_keys <= BROADCAST_KEYS else keys, on, "left_semi")
 
 
 def blocks(rows: DataFrame, key: str, size: str, number: str, limit: int) -> DataFrame:
@@ -147,37 +190,59 @@ def _pairs_in(groups: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
     return first.select("x", F.explode(F.slice("g", F.col("at") + 2, F.size("g"))).alias("y"))
 
 
-def _alike(x: str, y: str, threshold: float) -> F.Column:
+def _alike(threshold: float) -> F.Column:
     """Whether two sketches agree as far as pairs of this similarity do, with a margin of 3.5 standard deviations."""
     p = (1 + threshold) / 2
     most = int(SKETCH_BITS * (1 - p) + 3.5 * math.sqrt(SKETCH_BITS * p * (1 - p)))
-    differ = sum((F.bit_count(F.col(f"{x}.s")[i].bitwiseXOR(F.col(f"{y}.s")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
-    small, large = F.least(F.col(f"{x}.n"), F.col(f"{y}.n")), F.greatest(F.col(f"{x}.n"), F.col(f"{y}.n"))
+    differ = sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(SKETCH_BITS // 64)), F.lit(0))
+    small, large = F.least(F.col("x.n"), F.col("y.n")), F.greatest(F.col("x.n"), F.col("y.n"))
     return (differ <= most) & (small >= large * F.lit(threshold))
 
 
-def candidates(reps: DataFrame, threshold: float, levels: int = LEVELS, limit: int = LIMIT) -> DataFrame:
-    """(a, b) pairs of representatives that share a bucket and whose sketches agree."""
-    found, big = [], None
+_ROW = ["doc_id", "n", "s0", "s1", "s2", "s3"]
+
+
+def _in_pass(reps: DataFrame, levels: int, limit: int, block: int, last: bool) -> tuple[list[DataFrame], DataFrame | None]:
+    """Pairs of the buckets of one pass, and (doc_id, key) of those that are to be split further."""
+    found: list[DataFrame] = []
+    big, n_big = None, 0
     for i in range(1, levels + 1):
-        rows = reps.select("doc_id", "n", "s", F.explode(F.arrays_zip(F.col(f"up{i}").alias("up"), F.col(f"key{i}").alias("key"))).alias("p")).select("doc_id", "n", "s", "p.up", "p.key")
+        rows = _level(reps, i)
         if big is not None:
-            rows = rows.join(big.select(F.col("key").alias("up")), "up", "left_semi")
+            rows = _semi(rows, big.select(F.col("key").alias("up")), n_big, "up")
         rows = rows.drop("up")
-        sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > 1)
-        if i == levels:
-            large = blocks(rows.join(sizes.where(F.col("size") > limit), "key"), "key", "size", "doc_id", limit)
-            # in a cell of two blocks only rows of different blocks meet
-            met = _pairs_in(large, ["cell", "same"], ["doc_id", "n", "s", "own", "same"]).where(F.col("x.same") | (F.col("x.own") != F.col("y.own")))
-            found.append(met)
-        small = rows.join(sizes.where(F.col("size") <= limit), "key", "left_semi")
-        found.append(_pairs_in(small, ["key"], ["doc_id", "n", "s"]))
-        big = sizes.where(F.col("size") > limit).select("key")
-    out = None
-    for pairs in found:
-        kept = pairs.where(_alike("x", "y", threshold)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-        out = kept if out is None else out.unionByName(kept)
-    return out.distinct()
+        most = limit if i < levels else block
+        sizes = cut(rows.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > 1))
+        small = rows.join(sizes.where(F.col("size") <= most).select("key"), "key", "left_semi")
+        found.append(_pairs_in(small, ["key"], _ROW))
+        big = sizes.where(F.col("size") > most)
+        n_big = big.count()
+        if not n_big:
+            return found, None
+        if i < levels:
+            big = big.select("key")
+    met = rows.join(F.broadcast(big) if n_big <= BROADCAST_KEYS else big, "key")
+    if not last:
+        return found, met.select("doc_id", "key").distinct()
+    cells = _pairs_in(blocks(met, "key", "size", "doc_id", block), ["cell", "same"], [*_ROW, "own", "same"])
+    # in a cell of two blocks only rows of different blocks meet
+    found.append(cells.where(F.col("x.same") | (F.col("x.own") != F.col("y.own"))))
+    return found, None
+
+
+def candidates(docs: DataFrame, reps: DataFrame, shape: Shape, branch: tuple[float, ...] = BRANCH, passes: int = PASSES, limit: int = LIMIT, block: int = BLOCK) -> DataFrame:
+    """(a, b) pairs of representatives that share a bucket and whose sketches agree; reps: the first pass's `signed` rows."""
+    out = []
+    for k in range(passes):
+        found, rest = _in_pass(reps, len(branch), limit, block, last=k == passes - 1)
+        kept = [x.where(_alike(shape.threshold)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")) for x in found]
+        out.append(cut(reduce(DataFrame.unionByName, kept).distinct()))
+        if rest is None:
+            break
+        # a document has few buckets in a pass (the product of BRANCH a root), so its list is short
+        roots = rest.groupBy("doc_id").agg(F.collect_list("key").alias("roots"))
+        reps = cut(signed(docs.select("doc_id", "text").join(roots, "doc_id"), shape, branch))
+    return reduce(DataFrame.unionByName, out).distinct()
 
 
 def verified(docs: DataFrame, pairs: DataFrame, shape: Shape) -> DataFrame:
@@ -185,11 +250,13 @@ def verified(docs: DataFrame, pairs: DataFrame, shape: Shape) -> DataFrame:
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
-            got = [(d, t.view(np.int64)) for d, t in zip(pdf["doc_id"], shingle_sets(pdf["text"].tolist(), shape)) if t is not None]
-            yield pd.DataFrame(got, columns=["doc_id", "set"])
+            for at in range(0, len(pdf), AT_ONCE):
+                ids, texts = pdf["doc_id"].iloc[at : at + AT_ONCE], pdf["text"].iloc[at : at + AT_ONCE].tolist()
+                got = [(d, t.view(np.int64)) for d, t in zip(ids, shingle_sets(texts, shape)) if t is not None]
+                yield pd.DataFrame(got, columns=["doc_id", "set"])
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInPandas(run, "doc_id long, set array<long>")
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    sets = _semi(docs.select("doc_id", "text"), ids, ids.count(), "doc_id").mapInPandas(run, "doc_id long, set array<long>")
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb"))
     both = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
     share = F.col("both") / (F.size("sa") + F.size("sb") - F.col("both"))
@@ -204,14 +271,24 @@ class Versions:
     links: DataFrame
 
 
-def versions(docs: DataFrame, shape: Shape = Shape(), runs: int = RUNS, levels: int = LEVELS, limit: int = LIMIT) -> Versions:
+def versions(docs: DataFrame, shape: Shape = Shape(), runs: int = RUNS, branch: tuple[float, ...] = BRANCH, passes: int = PASSES, limit: int = LIMIT, block: int = BLOCK) -> Versions:
     """Classes of equal sets and the links between their representatives."""
     once = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    sig = cut(signed(once, shape, runs, BRANCH, levels))
-    classes = sig.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
-    members = join_counted(sig.select("doc_id", "d1", "d2"), classes, ["d1", "d2"], "size").select("doc_id", "rep", "size")
-    reps = sig.join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi")
-    pairs = cut(candidates(reps, shape.threshold, levels, limit))
+    sig = cut(signed(once.withColumn("roots", F.sequence(F.lit(1).cast("long"), F.lit(runs).cast("long"))), shape, branch))
+    slim = sig.select("doc_id", "d1", "d2")
+    classes = cut(slim.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")).where(F.col("size") > 1))
+    # only classes of several documents are joined; all other documents represent themselves
+    copies = cut(join_counted(slim, classes, ["d1", "d2"], "size").select("doc_id", "rep", "size"))
+    others = copies.where(F.col("doc_id") != F.col("rep")).select("doc_id")
+    n_others = others.count()
+    if n_others <= BROADCAST_KEYS:
+        reps = sig.join(F.broadcast(others), "doc_id", "left_anti")
+        members = slim.select("doc_id").join(F.broadcast(copies), "doc_id", "left") if n_others <= BROADCAST_KEYS // 4 else slim.select("doc_id").join(copies, "doc_id", "left")
+    else:
+        reps = cut(sig.join(others, "doc_id", "left_anti"))
+        members = slim.select("doc_id").join(copies, "doc_id", "left")
+    members = members.select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("size", F.lit(1)).alias("size"))
+    pairs = cut(candidates(once, reps, shape, branch, passes, limit, block))
     return Versions(members, verified(once, pairs, shape))
 
 
