@@ -7,18 +7,20 @@ from pyspark.sql import functions as F
 
 #: A key is heavy when it holds at least this share of the rows; so there are at most 1 / HEAVY_SHARE heavy keys.
 HEAVY_SHARE = 0.001
+SALTS = 64
 
 
-def join_counted(rows: DataFrame, groups: DataFrame, keys: list[str], count_col: str) -> DataFrame:
+def join_counted(rows: DataFrame, groups: DataFrame, keys: list[str], count_col: str, salts: int = SALTS) -> DataFrame:
     """Inner join of `rows` with one row per key in `groups`, whose `count_col` says how many rows the key has.
 
-    Keys with at least HEAVY_SHARE of all rows (at most 1000 keys, by definition) are broadcast, so
-    their rows stay where they are; the others are joined by a shuffle whose partitions are then even.
+    Rows of heavy keys (at least HEAVY_SHARE of the rows that `groups` counts, so at most 1000 keys,
+    which are broadcast to mark their rows) are salted and their groups repeated once a salt: no task
+    gets all rows of a key, and `rows` is read once. `groups` should be stored, it is read three times.
     """
     total = groups.agg(F.sum(count_col).alias("n")).first()["n"] or 0
     limit = max(2, int(total * HEAVY_SHARE))
-    heavy, light = groups.where(F.col(count_col) >= limit), groups.where(F.col(count_col) < limit)
-    heavy_keys = heavy.select(*keys)
-    hot = rows.join(F.broadcast(heavy), keys)
-    cold = rows.join(F.broadcast(heavy_keys), keys, "left_anti").join(light, keys)
-    return hot.unionByName(cold)
+    heavy = groups.where(F.col(count_col) >= limit)
+    marked = rows.join(F.broadcast(heavy.select(*keys, F.lit(True).alias("_heavy"))), keys, "left")
+    salted = marked.withColumn("_salt", F.when(F.col("_heavy"), F.pmod(F.monotonically_increasing_id(), F.lit(salts))).otherwise(0).cast("int")).drop("_heavy")
+    spread = F.when(F.col(count_col) >= limit, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return salted.join(groups.withColumn("_salt", F.explode(spread)), [*keys, "_salt"]).drop("_salt")

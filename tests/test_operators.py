@@ -182,7 +182,8 @@ def test_join_counted_with_hot_key(spark):
     big = spark.range(3000).select(F.when(F.col("id") < 1000, 0).otherwise(F.col("id")).alias("k"), "id")
     groups = big.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("first"))
     j = join_counted(big, groups, ["k"], "n")
-    assert j.count() == 3000 and j.where("k = 0").agg(F.max("first")).first()[0] == 0
+    assert j.count() == 3000 and j.where("k = 0").count() == 1000 and j.columns == ["k", "id", "n", "first"]
+    assert j.where("k = 0").agg(F.max("first")).first()[0] == 0 and j.select("id").distinct().count() == 3000
 
 
 def test_judgement_words_are_prefixes(spark):
