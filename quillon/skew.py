@@ -14,13 +14,14 @@ def join_counted(rows: DataFrame, groups: DataFrame, keys: list[str], count_col:
     """Inner join of `rows` with one row per key in `groups`, whose `count_col` says how many rows the key has.
 
     Rows of heavy keys (at least HEAVY_SHARE of the rows that `groups` counts, so at most 1000 keys,
-    which are broadcast to mark their rows) are salted and their groups repeated once a salt: no task
-    gets all rows of a key, and `rows` is read once. `groups` should be stored, it is read three times.
+    which are broadcast to mark their rows) are salted by a hash of the whole row, which a task that is run
+    again gives alike, and their groups repeated once a salt: no task gets all different rows of a key,
+    and `rows` is read once. `groups` should be stored, it is read three times.
     """
     total = groups.agg(F.sum(count_col).alias("n")).first()["n"] or 0
     limit = max(2, int(total * HEAVY_SHARE))
     heavy = groups.where(F.col(count_col) >= limit)
     marked = rows.join(F.broadcast(heavy.select(*keys, F.lit(True).alias("_heavy"))), keys, "left")
-    salted = marked.withColumn("_salt", F.when(F.col("_heavy"), F.pmod(F.monotonically_increasing_id(), F.lit(salts))).otherwise(0).cast("int")).drop("_heavy")
+    salted = marked.withColumn("_salt", F.when(F.col("_heavy"), F.pmod(F.xxhash64(*rows.columns), F.lit(salts))).otherwise(0).cast("int")).drop("_heavy")
     spread = F.when(F.col(count_col) >= limit, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     return salted.join(groups.withColumn("_salt", F.explode(spread)), [*keys, "_salt"]).drop("_salt")
