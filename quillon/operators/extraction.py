@@ -20,7 +20,7 @@ def requests(docs: DataFrame, people: DataFrame) -> DataFrame:
     """One request per chunk: custom_id, the person's name (the slug where it is unknown), content hash."""
     c = chunks(docs, ["url_hash", "doc_id", "person"])
     names = people.select(F.col("slug").alias("person"), "full_name")
-    out = c.join(F.broadcast(names.limit(100_000)) if _small(names) else names, "person", "left")
+    out = c.join(F.broadcast(names) if _small(names) else names, "person", "left")
     return out.select("doc_id", F.concat_ws(":", "url_hash", F.col("chunk_no").cast("string")).alias("custom_id"), F.coalesce("full_name", "person").alias("person_name"), F.sha2("chunk", 256).alias("text_sha256"), F.length("chunk").alias("n_chars"))
 
 

@@ -8,10 +8,16 @@ from pyspark.sql import functions as F
 from quillon.functions import text as T
 
 
+def evidence(claims: DataFrame) -> DataFrame:
+    """(person, axis, claim_id, source_url): the distinct evidence of each cell, one row each, however large a cell is."""
+    return claims.select("person", "axis", "claim_id", "source_url").distinct()
+
+
 def cells(claims: DataFrame) -> DataFrame:
-    """(person, axis, n_claims, claim_ids, source_urls): sorted, distinct evidence of each cell."""
-    g = claims.groupBy("person", "axis").agg(F.countDistinct("claim_id").alias("n_claims"), F.array_sort(F.collect_set("claim_id")).alias("claim_ids"), F.array_sort(F.collect_set("source_url")).alias("source_urls"))
-    return g
+    """(person, axis, n_claims, n_sources, first_id, last_id) of each cell that has any evidence."""
+    return claims.groupBy("person", "axis").agg(
+        F.countDistinct("claim_id").alias("n_claims"), F.countDistinct("source_url").alias("n_sources"), F.min("claim_id").alias("first_id"), F.max("claim_id").alias("last_id")
+    )
 
 
 def reliability(claims: DataFrame, capture: str = T.CAPTURE) -> DataFrame:
@@ -28,9 +34,9 @@ def reliability(claims: DataFrame, capture: str = T.CAPTURE) -> DataFrame:
     return a.select("person", "axis", level.alias("reliability"), caveats.alias("caveats"))
 
 
-def trace(placed: DataFrame, claims: DataFrame) -> DataFrame:
+def trace(proof: DataFrame, claims: DataFrame) -> DataFrame:
     """(person, axis, n_found, n_missing): evidence ids that still stand and those that dangle."""
-    ids = placed.select("person", "axis", F.explode("claim_ids").alias("claim_id"))
+    ids = proof.select("person", "axis", "claim_id").distinct()
     there = claims.select("claim_id").distinct().withColumn("there", F.lit(1))
     j = ids.join(there, "claim_id", "left")
     return j.groupBy("person", "axis").agg(F.count("there").alias("n_found"), F.count_if(F.col("there").isNull()).alias("n_missing"))

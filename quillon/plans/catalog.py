@@ -486,10 +486,15 @@ tidy AS (SELECT * REPLACE (regexp_replace(regexp_replace(lower(person), '^{_WS}|
                            regexp_replace(regexp_replace(lower(axis), '^{_WS}|{_WS}$', '', 'g'), '[^\p{{L}}\p{{N}}]+', '-', 'g') AS axis) FROM claims)"""
 
 
-@_query(f"""WITH {_TIDY} SELECT person, axis, count(DISTINCT claim_id) AS n_claims, array_to_string(list_sort(list(DISTINCT claim_id)), ',') AS claim_ids, array_to_string(list_sort(list(DISTINCT source_url)), ',') AS source_urls FROM tidy GROUP BY ALL""")
+@_query(f"""WITH {_TIDY} SELECT person, axis, count(DISTINCT claim_id) AS n_claims, count(DISTINCT source_url) AS n_sources, min(claim_id) AS first_id, max(claim_id) AS last_id FROM tidy GROUP BY ALL""")
 def o90_cells(spark: SparkSession, d: str) -> DataFrame:
-    c = positions.cells(_tidy(load(spark, d, "claims")))
-    return c.select("person", "axis", "n_claims", F.array_join("claim_ids", ",").alias("claim_ids"), F.array_join("source_urls", ",").alias("source_urls"))
+    return positions.cells(_tidy(load(spark, d, "claims")))
+
+
+@_query(f"WITH {_TIDY} SELECT DISTINCT person, axis, claim_id, source_url FROM tidy")
+def o92_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """The evidence of each placement in long form."""
+    return positions.evidence(_tidy(load(spark, d, "claims")))
 
 
 @_query(rf"""
@@ -510,7 +515,7 @@ SELECT person, axis, count(id) AS n_found, count(*) - count(id) AS n_missing FRO
 def o93_trace(spark: SparkSession, d: str) -> DataFrame:
     """Evidence of the cells against the claims that were not retracted."""
     claims = load(spark, d, "claims")
-    return positions.trace(positions.cells(_tidy(claims)), claims.where("status <> 'retracted'"))
+    return positions.trace(positions.evidence(_tidy(claims)), claims.where("status <> 'retracted'"))
 
 
 @_query()
@@ -655,8 +660,8 @@ def o112_labels(spark: SparkSession, d: str) -> DataFrame:
     return site.labelled(_tidy(load(spark, d, "claims")).select("claim_no", "axis"), "axis", site.AXIS_LABELS, "en").select("claim_no", "axis", "label")
 
 
-@_query(f"""WITH {_TIDY}, {_PAGES}, per AS (SELECT person, count(DISTINCT claim_id) AS n, array_to_string(list_sort(list(DISTINCT claim_id)), ',') AS ids FROM tidy GROUP BY ALL)
-SELECT path, locale, coalesce(n, 0) AS n_claims, substr(sha256(coalesce(ids, '')), 1, 10) AS content_key FROM pages LEFT JOIN per ON person = slug""")
+@_query(f"""WITH {_TIDY}, {_PAGES}, per AS (SELECT person, count(*) AS n, CAST(sum(CAST('0x' || substr(sha256(claim_id), 1, 8) AS BIGINT)) AS BIGINT) AS s FROM (SELECT DISTINCT person, claim_id FROM tidy) GROUP BY ALL)
+SELECT path, locale, coalesce(n, 0) AS n_claims, coalesce(s, 0) AS content_key FROM pages LEFT JOIN per ON person = slug""")
 def o113_manifest(spark: SparkSession, d: str) -> DataFrame:
     return site.manifest(site.person_pages(load(spark, d, "people")), _tidy(load(spark, d, "claims")))
 

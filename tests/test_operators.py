@@ -153,7 +153,7 @@ def test_grid_and_states(spark):
 
 def test_trace(spark):
     c = spark.createDataFrame([claim(1), claim(2)], CLAIM)
-    assert rows(positions.trace(positions.cells(c), c.where("claim_no = 1"))) == [("ana", "emploi", 1, 1)]
+    assert rows(positions.trace(positions.evidence(c), c.where("claim_no = 1"))) == [("ana", "emploi", 1, 1)]
 
 
 def test_scorecard(spark):
