@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_ITEMS = 1500
+BLOCK_ITEMS = 750
 STEP = 0.4
 
 
