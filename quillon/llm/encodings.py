@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.lookalikes import LOOK, base_form
+from quillon.llm.sampling import first_by_hash
 
 SAMPLE = 400
 HASHED = 1 << 14
@@ -203,10 +204,10 @@ class Detector:
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from the words of at most `sample` documents, the first by hash of doc_id."""
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
+    rows = first_by_hash(docs.select("doc_id", "text"), "doc_id", sample)
     words: set[str] = set()
     for r in rows:
-        words.update(TOKEN.findall(r["text"]))
+        words.update(TOKEN.findall(r["text"] or ""))
     undo = [c for c in CHAINS if c and c[0][0] == "utf-8"]
     keep = [w for w in sorted(words) if _PLAIN.fullmatch(w) and not _MIXED_CASE.search(w) and not any((g := invert(w, c)) is not None and g != w for c in undo)]
     return Model(keep)
