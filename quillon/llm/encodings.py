@@ -9,7 +9,7 @@ The classifier is fitted on a bounded sample: the words of the `sample` document
 that come first by hash, without those that invert under a UTF-8 chain, besides a fixed list of
 foreign names. Everything else covers every word of every row.
 
-Defined results: null and empty texts are clean and stay as they are; repeated rows give repeated
+Defined results: null and empty texts are clean and stay as they are; rows without a doc_id are left out; repeated rows give repeated
 results; an empty table gives an empty result.
 """
 
@@ -222,7 +222,7 @@ def garbled(docs: DataFrame, model: Model) -> DataFrame:
         for pdf in pdfs:
             yield pdf.loc[[t is not None and d.any(t) for t in pdf["text"]], ["doc_id"]]
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long").distinct()
+    return docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).mapInPandas(run, "doc_id long").distinct()
 
 
 def restored(docs: DataFrame, model: Model) -> DataFrame:
@@ -235,4 +235,4 @@ def restored(docs: DataFrame, model: Model) -> DataFrame:
             got = [(None, False) if t is None else d.repair(t) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": [g[0] for g in got], "garbled": [g[1] for g in got]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, text string, garbled boolean")
+    return docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).mapInPandas(run, "doc_id long, text string, garbled boolean")

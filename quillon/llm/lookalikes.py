@@ -5,7 +5,7 @@ word that mixes Latin with another script is a lattice of look-alike characters,
 under character bigram scores. The bigrams are counted over all rows (both scripts as they stand in
 words of one script), and a step between scripts costs SWITCH.
 
-Defined results: null stays null, empty stays empty; line feeds, tabs and carriage returns are kept;
+Defined results: null stays null, empty stays empty; rows without an id are left out; line feeds, tabs and carriage returns are kept;
 words wholly in one script, French quotation marks, dashes and curly apostrophes are kept; a repeated
 row gives a repeated result; an empty table gives an empty result.
 """
@@ -144,4 +144,4 @@ def consistent(rows: DataFrame, id_col: str, text_col: str, counts: dict[tuple[i
             pdf["text"] = new
             yield pdf[pdf["changed"]] if only_changed else pdf
 
-    return rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, text string, changed boolean")
+    return rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull()).mapInPandas(run, "id long, text string, changed boolean")

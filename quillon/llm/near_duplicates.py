@@ -14,9 +14,10 @@ level one, and as many below each large bucket it shares; the more runs, the sur
 Documents with equal sets of shingles form a class; only one representative of each goes through the
 join. The results are classes and links between representatives, and, where asked, all pairs.
 
-Defined results: null texts, empty ones and those with less than `min_words` words take no part; rows
-of one doc_id count once (the least text); ties in a class go to the smallest doc_id; an empty table
-gives empty results.
+Defined results: null texts, empty ones and those with less than `min_words` words take no part,
+nor do rows without a doc_id; rows stored twice count once, a doc_id with several texts is compared by
+each of them (its highest similarity counts), never with itself; ties in a class go to the smallest
+doc_id; an empty table gives empty results.
 """
 
 from __future__ import annotations
@@ -235,7 +236,7 @@ def candidates(docs: DataFrame, reps: DataFrame, shape: Shape, branch: tuple[flo
     out = []
     for k in range(passes):
         found, rest = _in_pass(reps, len(branch), limit, block, last=k == passes - 1)
-        kept = [x.where(_alike(shape.threshold)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")) for x in found]
+        kept = [x.where((F.col("x.doc_id") < F.col("y.doc_id")) & _alike(shape.threshold)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")) for x in found]
         out.append(cut(reduce(DataFrame.unionByName, kept).distinct()))
         if rest is None:
             break
@@ -260,7 +261,8 @@ def verified(docs: DataFrame, pairs: DataFrame, shape: Shape) -> DataFrame:
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb"))
     both = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
     share = F.col("both") / (F.size("sa") + F.size("sb") - F.col("both"))
-    return both.select("a", "b", share.alias("similarity")).where(F.col("similarity") >= shape.threshold)
+    near = both.select("a", "b", share.alias("similarity")).where(F.col("similarity") >= shape.threshold)
+    return near.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
 @dataclass(frozen=True)
@@ -275,18 +277,17 @@ def versions(docs: DataFrame, shape: Shape = Shape(), runs: int = RUNS, branch:
     """Classes of equal sets and the links between their representatives."""
     once = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     sig = cut(signed(once.withColumn("roots", F.sequence(F.lit(1).cast("long"), F.lit(runs).cast("long"))), shape, branch))
-    slim = sig.select("doc_id", "d1", "d2")
+    slim = sig.select("doc_id", "d1", "d2").distinct()
     classes = cut(slim.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")).where(F.col("size") > 1))
     # only classes of several documents are joined; all other documents represent themselves
-    copies = cut(join_counted(slim, classes, ["d1", "d2"], "size").select("doc_id", "rep", "size"))
-    others = copies.where(F.col("doc_id") != F.col("rep")).select("doc_id")
+    copies = cut(join_counted(slim, classes, ["d1", "d2"], "size").select("doc_id", "d1", "d2", "rep", "size"))
+    others = copies.where(F.col("doc_id") != F.col("rep")).select("doc_id", "d1", "d2")
     n_others = others.count()
-    if n_others <= BROADCAST_KEYS:
-        reps = sig.join(F.broadcast(others), "doc_id", "left_anti")
-        members = slim.select("doc_id").join(F.broadcast(copies), "doc_id", "left") if n_others <= BROADCAST_KEYS // 4 else slim.select("doc_id").join(copies, "doc_id", "left")
+    own = ["doc_id", "d1", "d2"]
+    if n_others <= BROADCAST_KEYS // 4:
+        reps, members = sig.join(F.broadcast(others), own, "left_anti"), slim.join(F.broadcast(copies), own, "left")
     else:
-        reps = cut(sig.join(others, "doc_id", "left_anti"))
-        members = slim.select("doc_id").join(copies, "doc_id", "left")
+        reps, members = cut(sig.join(others, own, "left_anti")), slim.join(copies, own, "left")
     members = members.select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("size", F.lit(1)).alias("size"))
     pairs = cut(candidates(once, reps, shape, branch, passes, limit, block))
     return Versions(members, verified(once, pairs, shape))
@@ -301,7 +302,7 @@ def all_pairs(v: Versions, limit: int = 1000) -> DataFrame:
     cells = blocks(many, "rep", "size", "doc_id", limit)
     inside = _pairs_in(cells, ["cell", "same"], ["doc_id", "own", "same"]).where(F.col("x.same") | (F.col("x.own") != F.col("y.own")))
     both = across.unionByName(inside.select(F.col("x.doc_id").alias("x"), F.col("y.doc_id").alias("y")))
-    return both.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).distinct()
+    return both.where(F.col("x") != F.col("y")).select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).distinct()
 
 
 def groups(v: Versions) -> DataFrame:

@@ -8,7 +8,7 @@ shorter than a chunk are chunks themselves. A line can only stand in `min_docs`
 chunks do; lines that pass are counted once more by a 128-bit digest of the whole line (exact check).
 
 Defined results: a null text has no lines, a null source_id is no source (its lines are never found),
-blank lines are never found, repeated rows of one doc_id count as one document, an empty table gives
+rows without a doc_id have no lines, blank lines are never found, repeated rows of one doc_id count as one document, an empty table gives
 an empty result. Only doc_id, source_id and text are read; other columns pass through `remove`.
 """
 
@@ -22,6 +22,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.session import cut
+from quillon.skew import join_counted
+
 WINDOW = 8
 #: Bits of the rolling hash that must be zero at a cut: chunks of 2**6 bytes on average.
 CUT_BITS = 6
@@ -136,30 +139,32 @@ def _line_chunks(with_lines: bool):
     return counts
 
 
+def _identified(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "source_id", "text").where(F.col("doc_id").isNotNull() & F.col("source_id").isNotNull())
+
+
 def repeated_chunks(docs: DataFrame, min_docs: int = 5) -> DataFrame:
-    """(key): chunks, within their source, that stand in at least `min_docs` rows."""
-    rows = docs.select("doc_id", "source_id", "text")
+    """(key, n): chunks, within their source, that stand in n rows, at least `min_docs`."""
+    rows = _identified(docs)
     part = rows.mapInPandas(_line_chunks(False), "key long, n long")
-    return part.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("key")
+    return part.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs)
 
 
 def repeated_lines(docs: DataFrame, min_docs: int = 5) -> DataFrame:
     """(doc_id, line_no): the lines that stand in at least `min_docs` different documents of their source."""
-    rows = docs.select("doc_id", "source_id", "text")
-    hot = repeated_chunks(rows, min_docs).withColumn("hot", F.lit(1))
+    rows = _identified(docs)
+    hot = cut(repeated_chunks(rows, min_docs))
     chunks = rows.mapInPandas(_line_chunks(True), "key long, doc_id long, line_no int, n_chunks int, h1 long, h2 long")
     lines = (
-        chunks.join(hot, "key")
+        join_counted(chunks, hot, ["key"], "n")
         .groupBy("doc_id", "line_no")
         .agg(F.max("n_chunks").alias("n_chunks"), F.count("*").alias("found"), F.max("h1").alias("h1"), F.max("h2").alias("h2"))
         .where((F.col("found") >= F.col("n_chunks")) & F.col("h1").isNotNull())
         .select("doc_id", "line_no", "h1", "h2")
     )
-    often = (
-        lines.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
-        .groupBy("h1", "h2").agg(F.sum("one").alias("n")).where(F.col("n") >= min_docs).select("h1", "h2")
-    )
-    return lines.join(often, ["h1", "h2"]).select("doc_id", "line_no").distinct()
+    lines = cut(lines)
+    often = cut(lines.select("h1", "h2", "doc_id").distinct().groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs))
+    return join_counted(lines, often, ["h1", "h2"], "n").select("doc_id", "line_no").distinct()
 
 
 def without_lines(text: Column, numbers: Column) -> Column:

@@ -28,7 +28,7 @@ def encoder(path: str = VOCABULARY):
 
 
 def token_counts(docs: DataFrame, extra: list[str] = (), path: str = VOCABULARY) -> DataFrame:
-    """(doc_id, extra ..., n_tokens); a null or empty text has 0 tokens."""
+    """(doc_id, extra ..., n_tokens); a null or empty text has 0 tokens, rows without a doc_id are left out."""
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
@@ -38,4 +38,4 @@ def token_counts(docs: DataFrame, extra: list[str] = (), path: str = VOCABULARY)
 
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in ["doc_id", *extra]) + ", n_tokens long"
-    return docs.select("doc_id", *extra, F.col("text")).mapInPandas(run, schema)
+    return docs.select("doc_id", *extra, F.col("text")).where(F.col("doc_id").isNotNull()).mapInPandas(run, schema)

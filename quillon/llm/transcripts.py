@@ -9,7 +9,7 @@ stretches of a video), so that a video with a large share of all rows is spread
 
 Defined results: a null line, an empty one, or one of labels, times, tags, hesitations and notes only
 yields no words, its label still names the voice; before the first label the speaker is null; rows
-with equal (video_id, number) count once (the one least in order); an empty table gives no turns.
+with equal (video_id, number) count once (the one least in order), those without either are left out; an empty table gives no turns.
 """
 
 from __future__ import annotations
@@ -163,14 +163,14 @@ def cue_pieces(cues: DataFrame, voices: DataFrame, max_voices: int = 100_000) ->
     if len(known) > max_voices:
         raise ValueError(f"more than {max_voices} voices")
     rows = cues.select("video_id", F.col("t").cast("double").alias("at"), F.col("seq").alias("no"), "line")
-    once = rows.groupBy("video_id", "no").agg(F.min(F.struct("at", "line")).alias("x")).select("video_id", "x.at", "no", "x.line")
+    once = rows.where(F.col("video_id").isNotNull() & F.col("no").isNotNull()).groupBy("video_id", "no").agg(F.min(F.struct("at", "line")).alias("x")).select("video_id", "x.at", "no", "x.line")
     return once.mapInPandas(_cleaned(known, "line"), _PIECES)
 
 
 def turn_pieces(turns: DataFrame) -> DataFrame:
     """The same of pieces of speech; the label is the voice number without leading zeros."""
     rows = turns.select("video_id", F.col("start_s").alias("at"), F.col("turn_no").alias("no"), "speaker", "text")
-    once = rows.groupBy("video_id", "no").agg(F.min(F.struct("at", "speaker", "text")).alias("x")).select("video_id", "x.at", "no", "x.speaker", "x.text")
+    once = rows.where(F.col("video_id").isNotNull() & F.col("no").isNotNull()).groupBy("video_id", "no").agg(F.min(F.struct("at", "speaker", "text")).alias("x")).select("video_id", "x.at", "no", "x.speaker", "x.text")
     number = F.regexp_extract(F.coalesce("speaker", F.lit("")), r"(\d+)\D*$", 1)
     label = F.when(number != "", F.regexp_replace(number, r"^0+(?=\d)", ""))
     named = once.select("video_id", "at", "no", label.alias("who"), "text")

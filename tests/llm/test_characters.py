@@ -63,7 +63,7 @@ def test_what_stays(counts):
 
 
 def test_consistent_table(spark, counts):
-    rows = [(1, "a\u00a0b", "x", 1), (2, None, "x", 1), (3, "", "x", 1), (4, "net", "x", 1), (5, "dаns", "x", 1), (5, "dаns", "x", 1)]
+    rows = [(1, "a\u00a0b", "x", 1), (2, None, "x", 1), (3, "", "x", 1), (4, "net", "x", 1), (5, "dаns", "x", 1), (5, "dаns", "x", 1), (None, "dаns", "x", 1)]
     df = spark.createDataFrame(rows, DOCS)
     got = sorted((tuple(r) for r in L.consistent(df, "doc_id", "text", counts).collect()), key=repr)
     assert got == [(1, "a b", True), (2, None, False), (3, "", False), (4, "net", False), (5, "dans", True), (5, "dans", True)]
@@ -104,7 +104,7 @@ def test_lost_characters_are_found(model):
 
 def test_garbled_table(spark, model):
     bad = E.garble("réglé", CHAINS[0])
-    df = spark.createDataFrame([(1, bad, "", 0), (1, bad, "", 0), (2, "réglé", "", 0), (3, None, "", 0), (4, "", "", 0), (5, "a " * 200_000 + bad, "", 0)], DOCS)
+    df = spark.createDataFrame([(1, bad, "", 0), (1, bad, "", 0), (2, "réglé", "", 0), (3, None, "", 0), (4, "", "", 0), (5, "a " * 200_000 + bad, "", 0), (None, bad, "", 0)], DOCS)
     assert sorted(r[0] for r in E.garbled(df, model).collect()) == [1, 5]
     out = {r["doc_id"]: (r["text"], r["garbled"]) for r in E.restored(df, model).collect()}
     assert out[1] == ("réglé", True) and out[3] == (None, False) and out[4] == ("", False)

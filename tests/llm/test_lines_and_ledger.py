@@ -38,8 +38,9 @@ def docs_of(seed):
 
 def test_lines_match_brute_force(spark):
     rows = docs_of(1) + [(100, "a", None, 1, ""), (101, None, "Partager", 1, ""), (102, "a", "", 1, "")]
+    none = [(None, "hot", "Partager\nx", 1, "")] * 7
     rows += [(103, "a", "seule fois " * 50_000, 1, "")] + [(200, "c", "même ligne", 1, "")] * 6  # a long text; one document stored six times
-    got = [tuple(r) for r in R.repeated_lines(spark.createDataFrame(rows, DOCS), 5).collect()]
+    got = [tuple(r) for r in R.repeated_lines(spark.createDataFrame(rows + none, DOCS), 5).collect()]
     assert len(got) == len(set(got)) and set(got) == brute_lines(rows, 5)
 
 

@@ -69,10 +69,11 @@ def test_large_buckets_go_in_blocks(spark):
 def test_groups_nulls_and_copies(spark):
     text = " ".join(f"w{i}" for i in range(120))
     near = text.replace("w60", "autre")
-    rows = [(5, text, 0, 0), (9, text.upper(), 0, 0), (7, near, 0, 0), (7, near, 0, 0), (1, None, 0, 0), (2, "", 0, 0), (3, "court", 0, 0), (4, " ".join(f"v{i}" for i in range(90)), 0, 0)]
-    v = N.versions(spark.createDataFrame(rows, DOCS).dropDuplicates(["doc_id"]))
+    rows = [(5, text, 0, 0), (9, text.upper(), 0, 0), (7, near, 0, 0), (7, near, 0, 0), (None, near, 0, 0), (1, None, 0, 0), (2, "", 0, 0), (3, "court", 0, 0), (4, " ".join(f"v{i}" for i in range(90)), 0, 0)]
+    v = N.versions(spark.createDataFrame(rows, DOCS))
     got = {r["doc_id"]: (r["group_id"], r["n_links"], r["n_copies"]) for r in N.groups(v).collect()}
     assert got == {5: (5, 1, 2), 9: (5, 1, 2), 7: (5, 1, 1), 4: (4, 0, 1)}
+    assert {tuple(r) for r in N.all_pairs(v).collect()} == {(5, 7), (5, 9), (7, 9)}
     none = N.versions(spark.createDataFrame([], DOCS))
     assert N.all_pairs(none).count() == 0 and N.groups(none).count() == 0
 

@@ -55,7 +55,7 @@ def test_packs(spark):
 
 
 def test_token_counts(spark):
-    df = spark.createDataFrame([(1, "Un été à l'école.", "s", 3), (2, None, "s", 3), (3, "", None, 3)], "doc_id long, text string, source string, n_tokens int")
+    df = spark.createDataFrame([(1, "Un été à l'école.", "s", 3), (2, None, "s", 3), (3, "", None, 3), (None, "x", "s", 3)], "doc_id long, text string, source string, n_tokens int")
     got = {r["doc_id"]: r["n_tokens"] for r in tokens.token_counts(df, ["source"]).collect()}
     assert got == {1: len(tokens.encoder().encode_ordinary("Un été à l'école.")), 2: 0, 3: 0}
     text = "Débats – compte rendu 2026"

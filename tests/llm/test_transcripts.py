@@ -82,13 +82,13 @@ def test_turns_match_a_loop_whatever_the_stretch(spark, stretch):
 
 def test_tables(spark):
     cues = spark.createDataFrame(
-        [(1, "s", 2, 9, "fin"), (1, "s", 1, 5, "Quervaudec : bonjour"), (1, "s", 1, 5, "Quervaudec : bonjour"), (1, "s", 3, 7, "BONDURIEUX :"), (1, "s", 4, 4, None), (2, "s", 1, None, "sans voix")],
+        [(1, "s", 2, 9, "fin"), (1, "s", 1, 5, "Quervaudec : bonjour"), (1, "s", 1, 5, "Quervaudec : bonjour"), (1, "s", 3, 7, "BONDURIEUX :"), (1, "s", 4, 4, None), (2, "s", 1, None, "sans voix"), (None, "s", 1, 1, "x"), (1, "s", None, 1, "x")],
         "video_id long, source_id string, seq int, t int, line string")
     voices = spark.createDataFrame(VOICES, "voice_id string, full_name string, honorific string")
     got = sorted((tuple(r) for r in X.turn_starts(X.cue_pieces(cues, voices)).collect()), key=repr)
     assert got == [(1, 1, "solene-quervaudec"), (1, 2, "elie-bondurieux"), (2, 1, None)]
     turns = spark.createDataFrame(
-        [(1, 1, 0.0, 1.0, "SPEAKER_00", "un"), (1, 2, 1.0, 2.0, None, "deux"), (1, 3, 2.0, 3.0, "?", "hum"), (1, 4, 3.0, 4.0, "voix n° 07", "trois"), (1, 4, 3.0, 4.0, "voix n° 07", "trois"), (2, 1, 0.0, 1.0, "", "x")],
+        [(1, 1, 0.0, 1.0, "SPEAKER_00", "un"), (1, 2, 1.0, 2.0, None, "deux"), (1, 3, 2.0, 3.0, "?", "hum"), (1, 4, 3.0, 4.0, "voix n° 07", "trois"), (1, 4, 3.0, 4.0, "voix n° 07", "trois"), (2, 1, 0.0, 1.0, "", "x"), (None, 1, 0.0, 1.0, "", "x"), (2, None, 0.0, 1.0, "", "x")],
         "video_id long, turn_no int, start_s double, end_s double, speaker string, text string")
     got = sorted((tuple(r) for r in X.turn_starts(X.turn_pieces(turns)).collect()), key=repr)
     assert got == [(1, 1, "0"), (1, 4, "7"), (2, 1, None)]
