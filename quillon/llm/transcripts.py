@@ -31,7 +31,7 @@ NOTES = ["acclamation", "ambiance", "applaud", "applause", "bruit", "brouhaha",
 _TIME = (
     r"\[\d+h\d+m\d+s\]"
     r"|\d{1,2}:\d{2}:\d{2}(?:[.,]\d+)?\s*-->(?:\s*\d{1,2}:\d{2}:\d{2}(?:[.,]\d+)?)?"
-    r"|[\[(<]?\s*\d{1,2}:\d{2}:\d{2}(?:[.,]\d+)?\s*[\])>]?"
+    r"|(?:[\[(<]\s*)?\d{1,2}:\d{2}:\d{2}(?:[.,]\d+)?(?:\s*[\])>])?"
     r"|[\[(<]\s*\d{1,3}:\d{2}(?:[.,]\d+)?\s*[\])>]"
     r"|\b\d{1,3}'\d{2}''|\b\d{1,3}['′]\d{2}(?:\"|″)"
 )

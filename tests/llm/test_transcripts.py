@@ -32,6 +32,7 @@ VOICES = [("solene-quervaudec", "Solène Quervaudec", "Mme"), ("elie-bondurieux"
         ("00:02:18,200 --> la députée <c>de</c> Eslorac", None, "la députée de Eslorac"),
         ("00:00:03,200 --> >> Élie Bondurieux : Pour une élue", 1, "Pour une élue"),
         ("00:00:03,200 --> 00:00:05,200 - Élie Bondurieux : Pour", 1, "Pour"),
+        ("Mme Quervaudec. –  00:00:03,200 --> Je propose", 0, "Je propose"),
         ("[00:00:03] (00:00:03) 00:00:03 <00:00:03> mot", None, "mot"),
         ("Solène Quervaudec a raison : dessous", None, "Solène Quervaudec a raison : dessous"),
         ("le dit Élie Bondurieux : hier", None, "le dit Élie Bondurieux : hier"),
