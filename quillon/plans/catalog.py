@@ -106,9 +106,9 @@ def o22_claim_view(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "claims").select("claim_id", "person", "axis", "claim_type", "claim_date", "quote_fr", "source_url", F.col("archive_url").isNotNull().cast("int").alias("archived"), "timestamp_s", "status")
 
 
-@_query("SELECT source_id, count(*) AS n_runs, CAST(sum(fetched) AS BIGINT) AS fetched, CAST(sum(kept) AS BIGINT) AS kept, max(run_at) AS last_run FROM source_runs GROUP BY ALL")
+@_query("SELECT source_id, count(*) AS n_runs, CAST(sum(fetched) AS BIGINT) AS fetched, CAST(sum(kept) AS BIGINT) AS kept, epoch_us(max(run_at)) AS last_run_us FROM source_runs GROUP BY ALL")
 def o23_source_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return store.source_rollup(load(spark, d, "source_runs"))
+    return store.source_rollup(load(spark, d, "source_runs")).select("source_id", "n_runs", "fetched", "kept", F.unix_micros("last_run").alias("last_run_us"))
 
 
 @_query("""SELECT url_hash, doc_id, person, source_id FROM (SELECT *, row_number() OVER (PARTITION BY url_hash ORDER BY fetched_at DESC, doc_id DESC) AS rn FROM documents) WHERE rn = 1""")
@@ -129,10 +129,10 @@ def o24_upsert_claims(spark: SparkSession, d: str) -> DataFrame:
     return store.latest(rows, ["claim_id"], ["last_verified", "claim_no"]).drop("last_verified")
 
 
-@_query("""SELECT url_hash, doc_id, fetched_at FROM (SELECT *, row_number() OVER (PARTITION BY url_hash ORDER BY fetched_at, doc_id) AS rn FROM documents) WHERE rn = 1""")
+@_query("""SELECT url_hash, doc_id, epoch_us(fetched_at) AS fetched_us FROM (SELECT *, row_number() OVER (PARTITION BY url_hash ORDER BY fetched_at, doc_id) AS rn FROM documents) WHERE rn = 1""")
 def o25_seen_first_wins(spark: SparkSession, d: str) -> DataFrame:
     rows = load(spark, d, "documents").select("url_hash", "doc_id", "fetched_at")
-    return store.earliest(rows, ["url_hash"], ["fetched_at", "doc_id"])
+    return store.earliest(rows, ["url_hash"], ["fetched_at", "doc_id"]).select("url_hash", "doc_id", F.unix_micros("fetched_at").alias("fetched_us"))
 
 
 @_query("""
@@ -143,15 +143,15 @@ def o26_dead_sources(spark: SparkSession, d: str) -> DataFrame:
     return store.silent_sources(load(spark, d, "source_runs"))
 
 
-@_query("SELECT DISTINCT source_id, seq, run_at, fetched, kept FROM source_runs")
+@_query("SELECT DISTINCT source_id, seq, epoch_us(run_at) AS run_us, fetched, kept FROM source_runs")
 def o27_run_log(spark: SparkSession, d: str) -> DataFrame:
     """The log without the rows that were stored twice."""
-    return load(spark, d, "source_runs").select("source_id", "seq", "run_at", "fetched", "kept").distinct()
+    return load(spark, d, "source_runs").select("source_id", "seq", F.unix_micros("run_at").alias("run_us"), "fetched", "kept").distinct()
 
 
-@_query("SELECT doc_id, url_hash, fetched_at FROM documents ORDER BY fetched_at, doc_id")
+@_query("SELECT doc_id, url_hash, epoch_us(fetched_at) AS fetched_us FROM documents ORDER BY fetched_at, doc_id")
 def o28_ordered_documents(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "documents").select("doc_id", "url_hash", "fetched_at").orderBy("fetched_at", "doc_id")
+    return load(spark, d, "documents").select("doc_id", "url_hash", F.unix_micros("fetched_at").alias("fetched_us")).orderBy("fetched_us", "doc_id")
 
 
 @_query("SELECT person, claim_date, claim_id, claim_no FROM claims ORDER BY person, coalesce(CAST(claim_date AS VARCHAR), ''), claim_id")
