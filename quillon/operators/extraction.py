@@ -38,6 +38,11 @@ def unsent(wanted: DataFrame, sent: DataFrame) -> DataFrame:
     return wanted.join(sent.select("custom_id", "text_sha256").distinct(), ["custom_id", "text_sha256"], "left_anti")
 
 
+def requeued(sent: DataFrame, expired: DataFrame) -> DataFrame:
+    """What counts as sent: requests of batches that did not expire; the others go back to the queue."""
+    return sent.join(expired.select("batch_id").distinct(), "batch_id", "left_anti")
+
+
 def pending_batches(requested: DataFrame, answered: DataFrame) -> DataFrame:
     return requested.select("batch_id").distinct().join(answered.select("batch_id").distinct(), "batch_id", "left_anti")
 

@@ -38,6 +38,14 @@ def locate(cues: Column, quote: Column) -> Column:
     return F.when((F.size(cues) > 0) & (at >= 0), F.aggregate(cues, start, step)["t"])
 
 
+def segments(turns: DataFrame, longest_s: float = 28.0) -> DataFrame:
+    """(video_id, turn_no, part, start_s, end_s): turns cut into stretches of at most `longest_s` seconds; empty turns have none."""
+    n = F.ceil((F.col("end_s") - F.col("start_s")) / F.lit(longest_s)).cast("int")
+    parts = turns.where(F.col("end_s") > F.col("start_s")).withColumn("part", F.explode(F.sequence(F.lit(0), n - 1)))
+    start = F.col("start_s") + F.col("part") * F.lit(longest_s)
+    return parts.select("video_id", "turn_no", "part", start.alias("start_s"), F.least(start + F.lit(longest_s), F.col("end_s")).alias("end_s"))
+
+
 def dominant_voices(turns: DataFrame, least_share: float = 0.5) -> DataFrame:
     """(video_id, voice, share): the voice with more than `least_share` of the spoken seconds; even debates have none."""
     per = turns.groupBy("video_id", "voice").agg(F.sum(F.col("end_s") - F.col("start_s")).alias("seconds"))

@@ -81,6 +81,15 @@ def o07_news_leads(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "leads").select("lead_no", T.blank_to(F.col("title"), "(untitled)").alias("title"), "url", "publisher", "lead_date")
 
 
+@_query("""
+WITH t AS (SELECT DISTINCT video_id, turn_no, start_s, end_s FROM turns WHERE end_s > start_s),
+p AS (SELECT *, unnest(range(0, CAST(ceil((end_s - start_s) / 28.0::DOUBLE) AS INTEGER))) AS part FROM t)
+SELECT video_id, turn_no, CAST(part AS INTEGER) AS part, round(start_s + part * 28, 3) AS start_s, round(least(start_s + part * 28 + 28, end_s), 3) AS end_s FROM p""")
+def o18_segments(spark: SparkSession, d: str) -> DataFrame:
+    t = load(spark, d, "turns").select("video_id", "turn_no", "start_s", "end_s").distinct()
+    return transcripts.segments(t).select("video_id", "turn_no", "part", F.round("start_s", 3).alias("start_s"), F.round("end_s", 3).alias("end_s"))
+
+
 # -- store -------------------------------------------------------------------------------------------
 
 
@@ -432,6 +441,16 @@ def o75_pending(spark: SparkSession, d: str) -> DataFrame:
     return extraction.pending_batches(p, p.where("ok"))
 
 
+@_query("""
+WITH gone AS (SELECT batch_id FROM claim_payloads GROUP BY batch_id HAVING NOT bool_and(json_valid(payload)))
+SELECT custom_id, record_no, sha256(payload) AS text_sha256 FROM claim_payloads WHERE batch_id NOT IN (SELECT batch_id FROM gone)""")
+def o78_requeued(spark: SparkSession, d: str) -> DataFrame:
+    """Requests that count as sent where a batch with an answer that broke off has expired as a whole."""
+    p = load(spark, d, "claim_payloads")
+    expired = p.where(F.try_parse_json("payload").isNull()).select("batch_id")
+    return extraction.requeued(p, expired).select("custom_id", "record_no", F.sha2("payload", 256).alias("text_sha256"))
+
+
 _KNOWN = ", ".join(f"'{x.split()[0]}'" for x in extraction.ANSWER.split(", "))
 _AXES = ", ".join(f"'{x}'" for x in extraction.AXES)
 _TYPES = ", ".join(f"'{x}'" for x in extraction.CLAIM_TYPES)

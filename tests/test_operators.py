@@ -131,6 +131,16 @@ def test_voices(spark):
     assert len(rows(transcripts.sample_turns(t))) == 12
 
 
+def test_segments(spark):
+    t = spark.createDataFrame([(1, 1, 0.0, 28.0), (1, 2, 1.0, 58.0), (1, 3, 5.0, 5.0)], "video_id int, turn_no int, start_s double, end_s double")
+    assert rows(transcripts.segments(t)) == [(1, 1, 0, 0.0, 28.0), (1, 2, 0, 1.0, 29.0), (1, 2, 1, 29.0, 57.0), (1, 2, 2, 57.0, 58.0)]
+
+
+def test_expired_batches_go_back(spark):
+    sent = spark.createDataFrame([("a:0", "b1"), ("a:1", "b2")], "custom_id string, batch_id string")
+    assert rows(extraction.requeued(sent, sent.where("batch_id = 'b2'")), "custom_id") == [("a:0",)]
+
+
 def test_reliability_ladder(spark):
     c = spark.createDataFrame(
         [claim(1), claim(2, source_url="v"), claim(3, axis="peur"), claim(4, axis="defense", tier_confirmed=False), claim(5, axis="defense", source_url="v"), claim(6, axis="securite", claim_date=None, tier="2", archive_url="x"), claim(7, axis="securite", source_url="v")], CLAIM)
