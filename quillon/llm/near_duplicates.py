@@ -1,6 +1,6 @@
 """Documents that are versions of one text: similarity of their word shingles reaches a threshold.
 
-Method: chosen-path join. In each of RUNS runs a document follows the shared tokens (shingles) whose
+Method: chosen-path join. In each of several runs a document follows the shared tokens (shingles) whose
 hash falls below BRANCH / size of its set: level one splits all documents on such tokens, and a bucket
 with more than LIMIT documents is split again on further tokens, level by level. The levels of BRANCH
 are made in one pass over the texts; documents whose bucket is larger than BLOCK after them go on from
@@ -8,8 +8,9 @@ there in a further pass over these documents only, up to PASSES. The other bucke
 brute force, and what remains after the last pass by brute force in blocks of BLOCK rows against each
 other, so nothing is dropped and no task holds a whole bucket. Pairs whose 256-bit minhash sketches
 agree far less than the threshold asks are left out (a margin of about 3.5 standard deviations); the
-others are verified on the full sets. A pair of similarity 0.5 shares 4 / 3 chosen tokens a run at
-level one, and as many below each large bucket it shares; the more runs, the surer it is found.
+others are verified on the full sets. Runs are repeated until a pair just at the threshold is found with
+a probability of TARGET_RECALL, on the cautious assumption that it always has to pass two levels; more
+similar pairs, and pairs that meet in a small bucket at once, are found more surely.
 
 Documents with equal sets of shingles form a class; only one representative of each goes through the
 join. The results are classes and links between representatives, and, where asked, all pairs.
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from quillon.session import cut
 from quillon.skew import join_counted
 
-RUNS, BRANCH, PASSES, LIMIT, BLOCK = 6, (2.0, 2.0, 1.0, 1.0), 4, 200, 2000
+TARGET_RECALL, BRANCH, PASSES, LIMIT, BLOCK = 0.99, (2.0, 2.0, 1.0, 1.0), 4, 200, 2000
 #: Texts whose sets are computed together.
 AT_ONCE = 500
 #: Keys are broadcast up to this number (8 MB), beyond it they are joined by a shuffle.
@@ -69,6 +70,15 @@ class Shape:
     min_words: int = 1
 
 
+def runs_for(threshold: float, recall: float = TARGET_RECALL, branch: tuple[float, ...] = BRANCH) -> int:
+    """Runs that find a pair at the threshold with this probability: 6 at 0.5, 4 at 0.8.
+
+    Two sets of equal size share 2 t / (1 + t) of their tokens, so this part of the chosen ones.
+    """
+    step = 1 - math.exp(-branch[0] * 2 * threshold / (1 + threshold))
+    return math.ceil(math.log(1 - recall) / math.log(1 - step * step))
+
+
 def shingle_sets(texts: list[str | None], shape: Shape) -> list[np.ndarray | None]:
     """Sorted distinct 64-bit shingle hashes of each text; None for one that takes no part."""
     words = [_WORDS.findall(t.lower()) if t else [] for t in texts]
@@ -214,10 +224,13 @@ def _in_pass(reps: DataFrame, levels: int, limit: int, block: int, last: bool) -
         rows = rows.drop("up")
         most = limit if i < levels else block
         sizes = cut(rows.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > 1))
-        small = rows.join(sizes.where(F.col("size") <= most).select("key"), "key", "left_semi")
-        found.append(_pairs_in(small, ["key"], _ROW))
         big = sizes.where(F.col("size") > most)
         n_big = big.count()
+        # rows of large buckets stay out of the shuffle below, the largest buckets' rows in any case
+        top = big if n_big <= BROADCAST_KEYS else big.orderBy(F.desc("size")).limit(BROADCAST_KEYS)
+        kept = rows.join(F.broadcast(top.select("key")), "key", "left_anti") if n_big else rows
+        small = kept.join(sizes.where(F.col("size") <= most).select("key"), "key", "left_semi")
+        found.append(_pairs_in(small, ["key"], _ROW))
         if not n_big:
             return found, None
         if i < levels:
@@ -273,8 +286,9 @@ class Versions:
     links: DataFrame
 
 
-def versions(docs: DataFrame, shape: Shape = Shape(), runs: int = RUNS, branch: tuple[float, ...] = BRANCH, passes: int = PASSES, limit: int = LIMIT, block: int = BLOCK) -> Versions:
+def versions(docs: DataFrame, shape: Shape = Shape(), runs: int | None = None, branch: tuple[float, ...] = BRANCH, passes: int = PASSES, limit: int = LIMIT, block: int = BLOCK) -> Versions:
     """Classes of equal sets and the links between their representatives."""
+    runs = runs or runs_for(shape.threshold, branch=branch)
     once = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     sig = cut(signed(once.withColumn("roots", F.sequence(F.lit(1).cast("long"), F.lit(runs).cast("long"))), shape, branch))
     slim = sig.select("doc_id", "d1", "d2").distinct()
