@@ -3,7 +3,7 @@
 Method: Karmarkar-Karp multiway differencing. Within a block of items every item is a partial
 partition of k windows; the two partitions of the largest imbalance are merged, the fullest windows
 of the one with the emptiest of the other, until one partition of near-equal windows is left; where a
-window exceeds the capacity, k rises and the differencing is done again. k starts at the least that
+window exceeds the capacity, k rises and the differencing is done again, then a smaller k is tried in between. k starts at the least that
 could do. Items longer than the capacity, and only these, are split: full windows and a rest.
 
 Blocks are made by a hash of doc_id, of about `block_items` items each, their number following the
@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_ITEMS = 750
-STEP = 0.4
+#: Halvings between the last number of windows that was too small and the first that fits.
+BACK = 4
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
@@ -52,15 +53,28 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
 
 def pack_block(sizes: list[int], capacity: int) -> list[list[int]]:
     """Windows of items whose sums stay within the capacity; no size may exceed it."""
-    total = sum(sizes)
-    k = max(1, -(-total // capacity))
-    while True:
+
+    def attempt(k: int) -> tuple[list[list[int]], int]:
         windows = differencing(sizes, k)
-        most = max((sum(sizes[i] for i in w) for w in windows), default=0)
-        if most <= capacity:
-            return [w for w in windows if w]
+        return windows, max((sum(sizes[i] for i in w) for w in windows), default=0)
+
+    k = max(1, -(-sum(sizes) // capacity))
+    low = k - 1
+    windows, most = attempt(k)
+    while most > capacity:
         # the further the fullest window is beyond the capacity, the larger the step
-        k += max(1, int(k * (most / capacity - 1) * STEP))
+        low, k = k, k + max(1, int(k * (most / capacity - 1)))
+        windows, most = attempt(k)
+    for _ in range(BACK):
+        middle = (low + k) // 2
+        if middle <= low:
+            break
+        fewer, most = attempt(middle)
+        if most <= capacity:
+            k, windows = middle, fewer
+        else:
+            low = middle
+    return [w for w in windows if w]
 
 
 def pieces(sized: DataFrame, capacities: DataFrame) -> DataFrame:
