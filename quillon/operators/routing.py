@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,18 +22,25 @@ def to_leads(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("tier") == "3").select("person", "source_id", T.blank_to(F.col("title"), "(untitled)").alias("title"), "url", F.col("doc_date").alias("lead_date"), F.lit(PRESS).alias("reason"))
 
 
-def name_patterns(people: DataFrame, max_people: int = 5000) -> list[tuple[str, str]]:
-    """(slug, pattern) of each person with names to match; people are at most `max_people` rows (checked)."""
+def name_patterns(people: DataFrame, max_people: int = 5000) -> list[tuple[str, list[str], str]]:
+    """(slug, names in lower case, pattern) of each person with names to match; people are at most `max_people` rows (checked)."""
     rows = people.where(F.size("match_names") > 0).select("slug", "match_names").orderBy("slug").limit(max_people + 1).collect()
     if len(rows) > max_people:
         raise ValueError(f"more than {max_people} people")
-    return [(r["slug"], T.any_of([n for n in r["match_names"] if n], whole_words=True)) for r in rows]
-
-
-def named(text: Column, patterns: list[tuple[str, str]]) -> Column:
-    """The people whose names stand in the text as words. One scan a person in generated code, no join of all with all."""
-    hits = F.array(*[F.when(text.rlike(p), slug) for slug, p in patterns]) if patterns else F.array().cast("array<string>")
-    return F.filter(hits, lambda x: x.isNotNull())
+    out = []
+    for r in rows:
+        names = sorted({n.lower() for n in r["match_names"] if n})
+        if names:
+            out.append((r["slug"], names, T.any_of(names, whole_words=True)))
+    return out
+
+
+def named(text: Column, patterns: list[tuple[str, list[str], str]]) -> Column:
+    """The people whose names stand in the text as words. One scan a person in generated code, no join of all with
+    all; the pattern runs only where the plain search finds one of the names."""
+    low = F.lower(text)
+    hits = [F.when(reduce(or_, [F.contains(low, F.lit(n)) for n in names]) & low.rlike(p), slug) for slug, names, p in patterns]
+    return F.filter(F.array(*hits), lambda x: x.isNotNull()) if hits else F.array().cast("array<string>")
 
 
 def attributed(rows: DataFrame, text: Column, people: DataFrame) -> DataFrame:

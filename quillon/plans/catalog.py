@@ -207,7 +207,7 @@ def o40_tier_route(spark: SparkSession, d: str) -> DataFrame:
 _NAMED_SQL = """
 names AS (SELECT slug, lower(unnest(match_names)) AS name FROM people)
 SELECT DISTINCT {no}, slug AS named_person FROM {table} JOIN names
-ON contains(lower({text}), name) AND regexp_matches(lower({text}), '(^|[^\\p{{L}}\\p{{N}}_])' || regexp_replace(name, '([^\\p{{L}}\\p{{N}} ])', '\\\\\\1', 'g') || '($|[^\\p{{L}}\\p{{N}}_])')"""
+ON CASE WHEN contains(lower({text}), name) THEN regexp_matches(lower({text}), '(^|[^\\p{{L}}\\p{{N}}_])' || regexp_replace(name, '([^\\p{{L}}\\p{{N}} ])', '\\\\\\1', 'g') || '($|[^\\p{{L}}\\p{{N}}_])') ELSE false END"""
 
 
 @_query("WITH " + _NAMED_SQL.format(no="doc_id", table="documents", text="text"))
@@ -578,7 +578,7 @@ def o96_voice_text(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("""
 WITH n AS (SELECT slug, lower(unnest(match_names)) AS name FROM people),
-m AS (SELECT lead_no, list(DISTINCT slug) AS named FROM leads JOIN n ON contains(lower(title), name) AND regexp_matches(lower(title), '(^|[^\\p{L}\\p{N}_])' || name || '($|[^\\p{L}\\p{N}_])') GROUP BY ALL),
+m AS (SELECT lead_no, list(DISTINCT slug) AS named FROM leads JOIN n ON CASE WHEN contains(lower(title), name) THEN regexp_matches(lower(title), '(^|[^\\p{L}\\p{N}_])' || name || '($|[^\\p{L}\\p{N}_])') ELSE false END GROUP BY ALL),
 d AS (SELECT url, bool_or(""" + _SUBJECT_SQL + """) AS about FROM documents GROUP BY ALL)
 SELECT CASE WHEN named IS NULL OR len(named) <> 1 OR named[1] <> person THEN 'title names another or several' WHEN about IS NULL THEN 'no text' WHEN NOT about THEN 'off subject' ELSE 'promoted' END AS reason, count(*) AS n
 FROM leads LEFT JOIN m USING (lead_no) LEFT JOIN d USING (url) GROUP BY ALL""")
