@@ -25,3 +25,12 @@ def join_counted(rows: DataFrame, groups: DataFrame, keys: list[str], count_col:
     salted = marked.withColumn("_salt", F.when(F.col("_heavy"), F.pmod(F.xxhash64(*rows.columns), F.lit(salts))).otherwise(0).cast("int")).drop("_heavy")
     spread = F.when(F.col(count_col) >= limit, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     return salted.join(groups.withColumn("_salt", F.explode(spread)), [*keys, "_salt"]).drop("_salt")
+
+
+#: Keys are broadcast up to this number (8 MB of numbers), beyond it they are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def without(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is not among `ids` (one column `key`, stored): few keys are sent to the rows, which then stay where they are."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, key, "left_anti")

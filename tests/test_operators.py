@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.operators import extraction, gates, positions, routing, site, store, transcripts
-from quillon.skew import join_counted
+from quillon.skew import join_counted, without
 
 DAY = dt.date(2026, 1, 1)
 
@@ -200,3 +200,9 @@ def test_judgement_words_are_prefixes(spark):
     df = spark.createDataFrame([claim(1, contexte_en="BOLDLY; kobold", contexte_fr="Timides flou-vague")], CLAIM)
     assert [m for _, m in rows(gates.neutrality(df), "gate", "message")] == ["contexte_en: bold", "contexte_fr: flou", "contexte_fr: timide", "contexte_fr: vague"]
     assert T.JUDGEMENTS
+
+
+def test_without(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y"), (None, "z")], "id int, v string")
+    assert rows(without(a, a.where("id = 2").select("id"), "id")) == [(1, "x"), (None, "z")]
+    assert rows(without(a, a.limit(0).select("id"), "id"), "v") == [("x",), ("y",), ("z",)]
