@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import encodings, ledger, lookalikes, mixing, near_duplicates, packing, page_body, repeated_lines, residue, tokens, transcripts
 from quillon.session import cut, load, ship
+from quillon.skew import without
 
 #: TESTDATA.md fixes this shape for p7_found; elsewhere the defaults hold.
 P7 = near_duplicates.Shape(k=3, threshold=0.5, min_words=100)
@@ -36,7 +37,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_kept(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
-    return docs.select("doc_id", "title", "text").join(residue.residues(docs), "doc_id", "left_anti")
+    return without(docs.select("doc_id", "title", "text"), cut(residue.residues(docs)), "doc_id")
 
 
 def _p3_texts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, dict]:
@@ -55,8 +56,8 @@ def _p3_rows(spark: SparkSession, d: str, only_changed: bool) -> tuple[DataFrame
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
     a, b = _p3_rows(spark, d, only_changed=True)
-    wrong = encodings.garbled(docs, encodings.train(docs)).withColumnRenamed("doc_id", "id")
-    both = a.join(wrong, "id", "left_anti").unionByName(b)
+    wrong = cut(encodings.garbled(docs, encodings.train(docs)).withColumnRenamed("doc_id", "id"))
+    both = without(a, wrong, "id").unionByName(b)
     return both.select("origin", F.col("id").alias("row_id")).distinct()
 
 
@@ -100,7 +101,7 @@ def p4_ledger(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p5_lines(docs: DataFrame) -> DataFrame:
-    whole = docs.join(residue.residues(docs), "doc_id", "left_anti")
+    whole = without(docs, cut(residue.residues(docs)), "doc_id")
     return page_body.around(whole, page_body.weights(docs))
 
 
