@@ -3,8 +3,11 @@
 Method: sentences (and titles) with a possible residue are cut out and turned into templates, with
 names, numbers and paths put aside; records of the same template are aligned by it. A place whose value
 differs between aligned records is a slot of the template: a slot that retains a variable name, a
-default or a blank is a residue. A place whose value never differs is part of the wording, as in an
-article that cites a placeholder, unless its syntax is that of a template language. Besides, sentences
+default or a blank is a residue. Filled records count as well: all sentences of all texts are aligned
+with the places found (see `fills`), and a sentence that holds words of its own there proves the slot.
+A place whose value never differs is part of the wording, as in an article that cites a placeholder,
+unless its syntax is that of a template language or its value asks to be filled in; how often a record
+is repeated does not matter. Besides, sentences
 and titles that are error, blocking, expiry, removal, maintenance or script notices as a whole are
 found by the wordings they are made of; notices that a sentence of the article only mentions are not.
 
@@ -19,6 +22,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,6 +88,8 @@ _LATIN = frozenset(LATIN)
 _LETTERS = re.compile(r"[^\W\d_]+")
 _PATH = re.compile(r"\S*[/\\]\S*|\S*\d\S*-\S+|\S+-\S*\d\S*|\S+\.(?:example|php|html?|fr|com|org)\S*")
 _NUMBER = re.compile(r"\d[\d\s.,:]*\d|\d")
+_GAP = re.compile(r"(?<=\S)\s(?=\S)\W*|^\W+")
+_ENDS = re.compile(r"(?<=\w)(?=\W)|(?<=\S)(?=\s|$)")
 _NAME = re.compile(r"(?<=[\s(«\"'’])[A-ZÀ-ÖØ-Þ][\w'’-]*(?:[\s-][A-ZÀ-ÖØ-Þ][\w'’-]*)*")
 
 
@@ -93,9 +99,94 @@ def template(sentence: str) -> str:
     return " ".join(_NAME.sub("N", " " + t).lower().split())
 
 
-def _automaton() -> ahocorasick.Automaton:
+#: Longest filling of a place, in words, and bits of the filters that are sent to the texts (1 MB each, whatever the number of places).
+FILL_WORDS, FILTER_BITS = 8, 1 << 23
+#: Words by which sentences are searched first; with more of them all sentences are aligned.
+ANCHORS, MANY = 100_000, 50
+_TOUCHING = re.compile(r"\w*\x01\w*")
+_OUTSIDE = re.compile(r"^\W+|\W+$")
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
+
+def _strict(text: str) -> str:
+    """As `template`, but the first word stays: any word may stand first with a capital."""
+    return " ".join(_NAME.sub("N", _NUMBER.sub("0", _PATH.sub("P", text))).lower().split())
+
+
+def place_of(before: str, value: str, after: str) -> tuple[int, int, str, str] | None:
+    """(hash of the wording before a place, hash of the wording on both sides, the value as bare words, the longest
+    words that each aligned sentence holds); None where there is not enough wording to align filled sentences by."""
+    t = _strict(WEAK.sub("N", before) + "\x01" + WEAK.sub("N", after))
+    words = [w for w in _LETTERS.findall(_TOUCHING.sub(" ", t)) if w not in ("n", "p")]
+    if len(words) < 2:
+        return None
+    words = sorted(set(words), key=lambda w: (-len(w), w))[:3]
+    a, b = t.split("\x01")
+    return _hash(a), _hash(a + "\x01" + b), _OUTSIDE.sub("", " ".join(value.lower().split())), " ".join(words)
+
+
+def fillings(text: str, heads: bytes, places: bytes, anchors: dict[str, list[list[str]]], auto: ahocorasick.Automaton | None) -> list[tuple[int, str]]:
+    """(hash of a place, filling) of the sentences without a mark; the filters may let other hashes pass."""
+    out, mask = [], FILTER_BITS - 1
+
+    def has(bits: bytes, h: int) -> bool:
+        return bits[(h & mask) >> 3] >> (h & 7) & 1
+
+    for s in _sentences(text, auto) if auto else all_sentences(text):
+        words = set(_LETTERS.findall(s.lower())) if auto else set()
+        if auto and not any(len(anchors[w]) > MANY or any(map(words.issuperset, anchors[w])) for w in words.intersection(anchors)):
+            continue
+        t = _strict(s)
+        starts = [0] + [m.end() for m in _GAP.finditer(t)]
+        for k, at in enumerate(starts):
+            if not has(heads, _hash(t[:at])):
+                continue
+            for m in _ENDS.finditer(t, at):
+                if m.start() > at and has(places, key := _hash(t[:at] + "\x01" + t[m.start() :])):
+                    filling = _OUTSIDE.sub("", t[at : m.start()])
+                    if filling and len(filling.split()) <= FILL_WORDS and not WEAK.search(s) and not STRONG.search(s):
+                        out.append((key, filling))
+                if k + FILL_WORDS < len(starts) and m.start() >= starts[k + FILL_WORDS]:
+                    break
+    return out
+
+
+def _filter(hashes: DataFrame, column: str) -> bytes:
+    """A bit for each hash; combined where the hashes are, so that one fixed size comes to the driver."""
+    at = F.pmod(F.col(column), F.lit(FILTER_BITS))
+    rows = hashes.select((at + 1).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("no")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    out = bytearray(FILTER_BITS // 8)
+    for r in rows.collect():
+        at = (r["no"] - 1) * len(r["bits"])
+        out[at : at + len(r["bits"])] = r["bits"]
+    return bytes(out)
+
+
+def fills(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(place, least_filling, most_filling): the fillings of the places (head, place, anchor), stored, that some sentence of `docs` holds."""
+    words = [r["anchor"] for r in places.select("anchor").distinct().limit(ANCHORS + 1).collect()]
+    shared = docs.sparkSession.sparkContext.broadcast((_filter(places, "head"), _filter(places, "place"), words if len(words) <= ANCHORS else []))
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        heads, both, words = shared.value
+        anchors: dict[str, list[list[str]]] = {}
+        for first, *rest in map(str.split, words):
+            anchors.setdefault(first, []).append(rest)
+        auto = _automaton(list(anchors)) if words else None
+        for pdf in pdfs:
+            yield pd.DataFrame({r for x in pdf["text"] for r in fillings(x, heads, both, anchors, auto)}, columns=["place", "filling"])
+
+    texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("text")
+    found = texts.mapInPandas(run, "place long, filling string")
+    return found.groupBy("place").agg(F.min("filling").alias("least_filling"), F.max("filling").alias("most_filling"))
+
+
+def _automaton(phrases: list[str] = _PHRASES) -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    for p in _PHRASES:
+    for p in phrases:
         a.add_word(p, len(p))
     a.make_automaton()
     return a
@@ -127,26 +218,32 @@ def _sentences(text: str, auto: ahocorasick.Automaton) -> list[str]:
     return out
 
 
+def all_sentences(text: str) -> Iterator[str]:
+    for line in text.split("\n"):
+        if line:
+            yield from _SENTENCE.split(line)
+
+
 def _latin(sentence: str) -> bool:
     words = _LETTERS.findall(sentence.lower())
     return len(words) >= 4 and sum(w in _LATIN for w in words) >= 0.6 * len(words)
 
 
-#: What a candidate is by itself: 3 a residue, 2 unless its place never differs, 1 only if its place is a slot.
+#: What a candidate is by itself: 3 and 2 a residue (3: even without a place), 1 only if its place is a slot.
 SURE, LIKELY, OPEN = 3, 2, 1
 
 
-def candidates_of(text: str | None, title: str | None, auto: ahocorasick.Automaton) -> list[tuple[str, str, int]]:
-    """(template, value, weight) of each possible residue."""
+def candidates_of(text: str | None, title: str | None, auto: ahocorasick.Automaton) -> list[tuple[str, str, int, int | None, int | None, str | None, str | None]]:
+    """(template, value, weight, head, place, bare) of each possible residue; the last four, of `place_of`, only where its weight is OPEN."""
     out = []
     if title:
         if _TITLE.match(title) or _NOTICE.match(title):
-            out.append(("title", "", SURE))
+            out.append(("title", "", SURE, None, None, None, None))
         elif STRONG.search(title) or any(DEFAULTS.match(m.group()) for m in WEAK.finditer(title)):
-            out.append(("title", "", SURE))
+            out.append(("title", "", SURE, None, None, None, None))
     for s in _sentences(text, auto) if text else ():
         if _latin(s) or _NOTICE.match(s):
-            out.append(("notice", "", SURE))
+            out.append(("notice", "", SURE, None, None, None, None))
             continue
         quoted = [m.span() for m in _QUOTED.finditer(s)]
         for pattern, strong in ((STRONG, True), (WEAK, False)):
@@ -165,34 +262,40 @@ def candidates_of(text: str | None, title: str | None, auto: ahocorasick.Automat
                 # a mark alone has no wording to be aligned by, and numbers in brackets are references
                 if weight == OPEN and (len(_LETTERS.findall(aligned)) < 2 or not _LETTERS.search(value) or any(ch.isdigit() for ch in value)):
                     continue
-                out.append((aligned, value, weight))
+                place = place_of(s[:a], value, s[b:]) if weight == OPEN else None
+                out.append((aligned, value, weight, *(place or (None, None, None, None))))
     return out
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, template, value, weight)."""
+    """(doc_id, template, value, weight, head, place, bare, anchor)."""
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         auto = _automaton()
         for pdf in pdfs:
             rows = [(d, *c) for d, x, t in zip(pdf["doc_id"], pdf["text"], pdf["title"]) for c in candidates_of(x, t, auto)]
-            yield pd.DataFrame(rows, columns=["doc_id", "template", "value", "weight"])
+            yield pd.DataFrame(rows, columns=["doc_id", "template", "value", "weight", "head", "place", "bare", "anchor"]).astype({"head": "Int64", "place": "Int64"})
 
-    return docs.select("doc_id", "text", "title").where(F.col("doc_id").isNotNull()).mapInPandas(run, "doc_id long, template string, value string, weight int")
+    return docs.select("doc_id", "text", "title").where(F.col("doc_id").isNotNull()).mapInPandas(run, "doc_id long, template string, value string, weight int, head long, place long, bare string, anchor string")
 
 
-def residues(docs: DataFrame, min_aligned: int = 3) -> DataFrame:
+def residues(docs: DataFrame) -> DataFrame:
     """(doc_id): documents with a residue.
 
-    A template is aligned when at least `min_aligned` records have it; its place is then a slot if it
-    takes two values or more, and wording if it takes one.
+    A place is a slot if its template takes two values or more, or if a sentence fills it with words
+    other than the value's own.
     """
     c = cut(candidates(docs))
-    sure = c.where(F.col("weight") == SURE).select("doc_id")
-    open_ = c.where(F.col("weight") < SURE)
-    # of a template, the number of records counts up to min_aligned and of values up to two: small and combined before the shuffle
-    places = cut(c.where(F.length("value") > 0).groupBy("template").agg(F.count("*").alias("records"), F.min("value").alias("least"), F.max("value").alias("most")))
-    judged = join_counted(open_, places, ["template"], "records").where(
-        F.when(F.col("least") != F.col("most"), True).when(F.col("records") >= min_aligned, False).otherwise(F.col("weight") == LIKELY)
-    )
-    return sure.unionByName(judged.select("doc_id")).distinct()
+    sure = c.where(F.col("weight") > OPEN).select("doc_id")
+    open_ = c.where(F.col("weight") == OPEN)
+    # of a template only the least and the greatest value count: small and combined before the shuffle
+    values = cut(c.where(F.length("value") > 0).groupBy("template").agg(F.count("*").alias("records"), F.min("value").alias("least"), F.max("value").alias("most")))
+    judged = cut(join_counted(open_, values, ["template"], "records").select("doc_id", "place", "head", "bare", "anchor", (F.col("least") != F.col("most")).alias("slot")))
+    unclear = judged.where(~F.col("slot") & F.col("place").isNotNull())
+    places = cut(unclear.groupBy("head", "place", "anchor").agg(F.count("*").alias("records")))
+    out = sure.unionByName(judged.where("slot").select("doc_id"))
+    if places.isEmpty():
+        return out.distinct()
+    filled = cut(places.drop("head", "anchor").join(fills(docs, places), "place"))
+    proved = join_counted(unclear.drop("head", "anchor"), filled, ["place"], "records").where((F.col("least_filling") != F.col("bare")) | (F.col("most_filling") != F.col("bare")))
+    return out.unionByName(proved.select("doc_id")).distinct()

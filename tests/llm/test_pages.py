@@ -94,3 +94,16 @@ def test_maximal_stretches_match_brute_force():
         sums = [sum(s[a:b]) for a in range(len(s)) for b in range(a + 1, len(s) + 1)]
         best = max(sums, default=0)
         assert max((sum(s[a:b]) for a, b in got), default=0) == max(best, 0)
+
+
+def test_filled_records_prove_a_slot(spark):
+    # one value in many records: a default is found whatever their number, copies of a page change nothing
+    many = [doc(i, f"Un mot. Rédigé par [Votre nom] pour Site{i}.") for i in range(5)]
+    copies = [doc(10 + i, "La page du comité {nom_du_comite} ouvre demain.") for i in range(4)]
+    assert found(spark, *many, *copies) == [0, 1, 2, 3, 4, 10, 11, 12, 13]
+    # a variable that prose may cite as well: only records that fill its place tell
+    cited = [doc(20 + i, f"Montant retenu par le jury : {{seuil}} euros à Port{i}.") for i in range(4)]
+    assert found(spark, *cited) == []
+    assert found(spark, *cited, doc(30, "Un article.\nMontant retenu par le jury : 4 500 euros à Verrais. La suite.")) == [20, 21, 22, 23]
+    # the same words without the marks, or none at all, fill nothing
+    assert found(spark, *cited, doc(31, "Montant retenu par le jury : seuil euros à Verrais."), doc(32, "Montant retenu par le jury : euros à Verrais.")) == []
