@@ -43,7 +43,7 @@ DEFAULTS = re.compile(
 )
 # Sentences that are a notice as a whole, from their beginning on.
 NOTICES = [
-    r"(?:erreur|error|http|http/1\.\d|code(?: d'erreur)?|statut|status)\s*:?\s*[45]\d\d\b", r"[45]\d\d\s*(?:[–—:-]|error|erreur|not found|forbidden|bad gateway|service|internal|gateway|page|accès|access)",
+    r"(?:erreur|error|http|http/1\.\d|code(?: d'erreur)?|statut|status)\s*:?\s*[45]\d\d\b", r"[45]\d\d\s*(?:[–—:-](?!\s*\d)|error|erreur|not found|forbidden|bad gateway|service|internal|gateway|page|accès|access)",
     r"(?:oups|oops|désolé|sorry|whoops)\s*[!,.…]*\s*(?:rien|nothing|la page|the page|cette page|this page|we |nous |une erreur|an error|something|le contenu)", r"rien ne se trouve à l'adresse",
     r"(?:la|cette|the|this) page (?:\S+ ){0,2}(?:est introuvable|n'existe (?:pas|plus)|n'est (?:pas|plus) disponible|a été (?:supprimée|déplacée|retirée)|is not available|(?:does not|doesn't|no longer) exists?|cannot be found|could not be found|has been (?:moved|removed|deleted)|nécessite|requires)",
     r"(?:page|document|article|fichier|file|contenu|content) (?:non trouvée?|introuvable|not found|indisponible|unavailable|supprimée?|expirée?)", r"the requested (?:url|page|resource|address)\b", r"not found\b", r"nothing (?:was )?found\b",
@@ -69,14 +69,10 @@ TITLES = [
     r"(?:lorem ipsum|dummy|test|titre provisoire|à compléter|xxx+|todo|tbd|n/a|null|undefined|none)\b.*",
 ]
 LATIN = "lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident sunt culpa officia deserunt mollit laborum vitae turpis sapien ligula justo quam varius nunc porta nibh augue arcu felis orci massa tellus risus pretium pellentesque vestibulum curabitur donec mauris praesent vivamus aliquam phasellus".split()
-# Parts of which every notice and every mark holds at least one: what the automaton looks for.
-_PHRASES = [
-    "{{", "{%", "<<", "${", "#{", "<%", "<?", "%%", "@@", "##", "*|", "[[", "__", "[object", "undefined", "nan", "$1", "$2", "$3", "{", "[", "xxx", "......", "n/a", "tbd", "todo", "fixme", "null", "compléter", "&lt;", "%titre%", "%site%", "%nom%", "%name%", "%title%", "%date%",
-    "erreur", "error", "http", "oups", "oops", "whoops", "désolé", "sorry", "rien ne se trouve", "nothing", "introuvable", "n'existe", "non trouvé", "not found", "disponible", "a été supprimé", "a été retiré", "a été effacé", "a été déplacé", "a été dépublié", "réservé aux", "expiré", "expired", "requested", "exist", "removed", "deleted", "available",
-    "accès refusé", "accès interdit", "accès bloqué", "accès restreint", "accès non", "access ", "forbidden", "unauthorized", "permission", "autorisé", "bloqu", "blocked", "blocks", "session", "vérification", "prouvez", "verify", "checking", "confirm", "just a moment", "un instant", "attention required", "please", "requêtes", "too many",
-    "maintenance", "undergoing", "hors service", "nos équipes", "inaccessible", "gateway", "timeout", "time-out", "upstream", "le serveur", "the server", "impossible d", "unable", "failed", "cannot", "could not", "can't", "database", "went wrong", "mal passé", "est survenue", "s'est produite", "occurred", "inattendue", "fatal", "warning", "deprecated", "exception", "traceback", "stack trace", "sql", "segmentation", "array (", "object(",
-    "javascript", "script", "cookies", "n'apparaît", "chargement", "loading", "navigateur", "browser", "texte provisoire", "texte de remplacement", "texte à", "texte factice", "texte d'exemple", "texte par défaut", "votre texte", "your text", "insér", "insert", "ajoutez", "saisissez", "entrez", "text here", "content here", "title here", "ceci est un", "this is", "this content", "this article", "this page", "this site", "this app", "sample", "dummy", "placeholder", "filler", "à venir", "coming soon", "construction", "lorem", "ipsum", "dolor", "vitae", "sapien", "hello world",
-    "410 ", "403 ", "404 ", "429 ", "500 ", "502 ", "503 ", "504 ", "<votre", "<nom", "<titre", "____",
+# Parts of which every mark of STRONG and WEAK, in lower case, holds at least one: what the automaton looks for.
+# NaN is looked for by itself, its letters stand in too many words. Notices need no clue: all sentences are compared with them.
+_CLUES = [
+    "{", "[", "<", "$", "%%", "@@", "##", "*|", "__", "......", "&lt;", "undefined", "null null", "xxx", "n/a", "tbd", "todo", "fixme", "compléter", "%_", *(f"%{x}" for x in "abcdefghijklmnopqrstuvwxyz"),
 ]
 
 _NOTICE = re.compile("(?i)^[\\s\"'>*–—-]*(?:" + "|".join(f"(?:{x})" for x in NOTICES) + ")")
@@ -184,7 +180,7 @@ def fills(docs: DataFrame, places: DataFrame) -> DataFrame:
     return found.groupBy("place").agg(F.min("filling").alias("least_filling"), F.max("filling").alias("most_filling"))
 
 
-def _automaton(phrases: list[str] = _PHRASES) -> ahocorasick.Automaton:
+def _automaton(phrases: list[str] = _CLUES) -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for p in phrases:
         a.add_word(p, len(p))
@@ -193,7 +189,7 @@ def _automaton(phrases: list[str] = _PHRASES) -> ahocorasick.Automaton:
 
 
 def _sentences(text: str, auto: ahocorasick.Automaton) -> list[str]:
-    """The sentences of the text that hold a clue."""
+    """The sentences of the text that hold a phrase of the automaton."""
     low = text.lower()
     if len(low) != len(text):
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
@@ -241,15 +237,19 @@ def candidates_of(text: str | None, title: str | None, auto: ahocorasick.Automat
             out.append(("title", "", SURE, None, None, None, None))
         elif STRONG.search(title) or any(DEFAULTS.match(m.group()) for m in WEAK.finditer(title)):
             out.append(("title", "", SURE, None, None, None, None))
-    for s in _sentences(text, auto) if text else ():
-        if _latin(s) or _NOTICE.match(s):
-            out.append(("notice", "", SURE, None, None, None, None))
-            continue
+    if not text:
+        return out
+    filler = not _LATIN.isdisjoint(_LETTERS.findall(text.lower()))
+    if any(_NOTICE.match(s) or (filler and _latin(s)) for s in all_sentences(text)):
+        out.append(("notice", "", SURE, None, None, None, None))
+    for s in all_sentences(text) if "NaN" in text else _sentences(text, auto):
         quoted = [m.span() for m in _QUOTED.finditer(s)]
         for pattern, strong in ((STRONG, True), (WEAK, False)):
             for m in pattern.finditer(s):
                 a, b = m.span()
-                value = m.group()
+                # all blanks are one value, however long
+                blank = m.group()[:4] in ("____", "....")
+                value = "____" if blank else m.group()
                 if not strong and any(x.start() < b and a < x.end() for x in STRONG.finditer(s)):
                     continue
                 if strong:
@@ -260,7 +260,7 @@ def candidates_of(text: str | None, title: str | None, auto: ahocorasick.Automat
                     weight = LIKELY if DEFAULTS.match(value) or _VARIABLE.fullmatch(value) else OPEN
                 aligned = template(s[:a] + "\x01" + s[b:])
                 # a mark alone has no wording to be aligned by, and numbers in brackets are references
-                if weight == OPEN and (len(_LETTERS.findall(aligned)) < 2 or not _LETTERS.search(value) or any(ch.isdigit() for ch in value)):
+                if weight == OPEN and (len(_LETTERS.findall(aligned)) < 2 or not (blank or _LETTERS.search(value)) or any(ch.isdigit() for ch in value)):
                     continue
                 place = place_of(s[:a], value, s[b:]) if weight == OPEN else None
                 out.append((aligned, value, weight, *(place or (None, None, None, None))))

@@ -107,3 +107,23 @@ def test_filled_records_prove_a_slot(spark):
     assert found(spark, *cited, doc(30, "Un article.\nMontant retenu par le jury : 4 500 euros à Verrais. La suite.")) == [20, 21, 22, 23]
     # the same words without the marks, or none at all, fill nothing
     assert found(spark, *cited, doc(31, "Montant retenu par le jury : seuil euros à Verrais."), doc(32, "Montant retenu par le jury : euros à Verrais.")) == []
+
+
+@pytest.mark.parametrize("text", [
+    "Bonjour %prenom%, merci.", "Écrit par %AUTHOR% ce jour.", "Rédigé par $NOM_AUTEUR pour le site.", "Voir $4_titre ci-dessous.", "401 - Authentification requise", "Code : 404.", "Page supprimée", "Vérifions que vous êtes humain.", "Erreur : 451",
+    "Curabitur donec mauris praesent vivamus aliquam.", "Fin. NaN NaN", "a ##CHAMP## b", "a @@champ@@ b", "a *|FNAME|* b", "a &lt;TITRE&gt; b", "a null null b", "a <<champ>> b", "a __TITRE__ b", "a %%nom%% b", "a <?= $x ?> b", "a <% x %> b", "a #{x} b", "Le <DATE> à Paris.",
+])
+def test_every_pattern_reaches_the_text(spark, text):
+    assert [c for c in R.candidates_of("Un article.\n" + text, None, R._automaton()) if c[2] > R.OPEN]
+
+
+@pytest.mark.parametrize("mark", ["{seuil}", "[Lieu dit]", "<MONTANT du jour>", "XXX", "______", "........", "undefined", "NaN", "N/A", "TBD", "TODO", "FIXME"])
+def test_every_weak_mark_reaches_the_text(mark):
+    assert [c[2] for c in R.candidates_of(f"Un article. Le comité local retient {mark} pour la salle.", None, R._automaton())] != []
+
+
+def test_blanks_count_where_a_slot_is_shown(spark):
+    blank = [doc(1, "Signé par le maire ______ de la commune."), doc(2, "Signé par le maire .......... de la commune.")]
+    assert found(spark, *blank) == []
+    assert found(spark, *blank, doc(3, "Signé par le maire Paul Rogael de la commune.")) == [1, 2]
+    assert found(spark, doc(4, "450 – 500 emplois sont en jeu."), doc(5, "Avant-propos du comité ........ 4")) == []
