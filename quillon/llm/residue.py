@@ -10,6 +10,9 @@ unless its syntax is that of a template language or its value asks to be filled
 is repeated does not matter. Besides, sentences
 and titles that are error, blocking, expiry, removal, maintenance or script notices as a whole are
 found by the wordings they are made of; notices that a sentence of the article only mentions are not.
+Pages of other wordings are found by their repetition: the templates of whole short texts with a word of
+notices (in several languages) or a status number are counted over all documents, and those that stand
+in REPEATED documents or more are residues.
 
 Defined results: null text and null title hold nothing; rows without a doc_id are never found; repeated rows give one doc_id; an empty table
 gives an empty result. The whole text is searched; only doc_id, text and title are read.
@@ -80,6 +83,12 @@ _TITLE = re.compile("(?i)^\\s*(?:" + "|".join(f"(?:{x})" for x in TITLES) + ")\\
 _SENTENCE = re.compile(r"(?<=[.!?…»])\s+(?=[«\"(\[{<$%#@*_A-ZÀ-ÖØ-Þ0-9])")
 _QUOTED = re.compile(r"«[^»]*»|“[^”]*”|\"[^\"]*\"")
 _VARIABLE = re.compile(r"\{[A-Za-z]+(?:_[A-Za-z]+)+\}|<[A-Za-z]+(?:_[A-Za-z]+)+>")
+# Features of notices in a short text, whatever its wording.
+_FEATURES = re.compile(
+    r"(?i)\b(?:[45]\d\d\b|err(?:eur|or)|fehler|fout\b|błąd|ошибк|hata\b|serv(?:er|eur|idor|ice|izio|icio)|dienst|session|sitzung|sesión|sessione|browser|navigat?(?:eur|or|ore)|navegador|javascript|cookies?\b|scripts?\b|captcha|robots?\b|proxy|firewall|login|token"
+    r"|(?:in|un)?disponib|unavailable|verfügbar|beschikbaar|introuvable|not found|gefunden|encontrad|trovat[ao]|missing|manquant|expir|abgelaufen|caducad|scadut|accès|access|zugriff|acceso|accesso|toegang|denied|refus|verweiger|denegad|negat[ao]|bloc?[kq]|gesperrt|bloquead"
+    r"|requ(?:ête|est)|angefordert|anfrage|solicitud|richiest|maintenance|wartung|mantenimiento|manuten|onderhoud|re(?:charg|load|fresh|try|carg)|réessay|actualis|neu laden|später|timeout|seite|página|pagina|страниц|url|http|link|lien\b|id\b|incident)"
+)
 _LATIN = frozenset(LATIN)
 _LETTERS = re.compile(r"[^\W\d_]+")
 _PATH = re.compile(r"\S*[/\\]\S*|\S*\d\S*-\S+|\S+-\S*\d\S*|\S+\.(?:example|php|html?|fr|com|org)\S*")
@@ -225,8 +234,10 @@ def _latin(sentence: str) -> bool:
     return len(words) >= 4 and sum(w in _LATIN for w in words) >= 0.6 * len(words)
 
 
-#: What a candidate is by itself: 3 and 2 a residue (3: even without a place), 1 only if its place is a slot.
-SURE, LIKELY, OPEN = 3, 2, 1
+#: Whole texts up to PAGE_CHARS characters are pages that may be error templates, in REPEATED documents they are.
+PAGE_CHARS, REPEATED = 600, 20
+#: What a candidate is by itself: 3 and 2 a residue (3: even without a place), 1 only if its place is a slot, 0 a whole text, if it is repeated.
+SURE, LIKELY, OPEN, PAGE = 3, 2, 1, 0
 
 
 def candidates_of(text: str | None, title: str | None, auto: ahocorasick.Automaton) -> list[tuple[str, str, int, int | None, int | None, str | None, str | None]]:
@@ -239,6 +250,8 @@ def candidates_of(text: str | None, title: str | None, auto: ahocorasick.Automat
             out.append(("title", "", SURE, None, None, None, None))
     if not text:
         return out
+    if len(text) <= PAGE_CHARS and _FEATURES.search(text):
+        out.append((template(text), "", PAGE, None, None, None, None))
     filler = not _LATIN.isdisjoint(_LETTERS.findall(text.lower()))
     if any(_NOTICE.match(s) or (filler and _latin(s)) for s in all_sentences(text)):
         out.append(("notice", "", SURE, None, None, None, None))
@@ -293,7 +306,10 @@ def residues(docs: DataFrame) -> DataFrame:
     judged = cut(join_counted(open_, values, ["template"], "records").select("doc_id", "place", "head", "bare", "anchor", (F.col("least") != F.col("most")).alias("slot")))
     unclear = judged.where(~F.col("slot") & F.col("place").isNotNull())
     places = cut(unclear.groupBy("head", "place", "anchor").agg(F.count("*").alias("records")))
-    out = sure.unionByName(judged.where("slot").select("doc_id"))
+    whole = c.where(F.col("weight") == PAGE).select("doc_id", "template").distinct()
+    pages = cut(whole.groupBy("template").agg(F.count("*").alias("records")).where(F.col("records") >= REPEATED))
+    repeated = join_counted(whole, pages, ["template"], "records").select("doc_id")
+    out = sure.unionByName(judged.where("slot").select("doc_id")).unionByName(repeated)
     if places.isEmpty():
         return out.distinct()
     filled = cut(places.drop("head", "anchor").join(fills(docs, places), "place"))

@@ -127,3 +127,13 @@ def test_blanks_count_where_a_slot_is_shown(spark):
     assert found(spark, *blank) == []
     assert found(spark, *blank, doc(3, "Signé par le maire Paul Rogael de la commune.")) == [1, 2]
     assert found(spark, doc(4, "450 – 500 emplois sont en jeu."), doc(5, "Avant-propos du comité ........ 4")) == []
+
+
+def test_repeated_whole_pages(spark):
+    page = "Die angeforderte Seite wurde nicht gefunden.\nVorgang {}. Bitte später wiederkommen."
+    pages = [doc(i, page.format(1000 + i)) for i in range(R.REPEATED)]
+    assert found(spark, *pages) == list(range(R.REPEATED))
+    assert found(spark, *pages[1:], doc(1, page.format(1))) == []
+    # short texts of other content, and long ones, are not error pages for being repeated
+    assert found(spark, *[doc(i, "Le conseil a voté le budget de la ville.") for i in range(30)]) == []
+    assert found(spark, *[doc(i, page.format(i) + "\nUn long article." * 60) for i in range(30)]) == []
