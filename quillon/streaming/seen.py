@@ -1,17 +1,35 @@
-"""First sightings as a stream: what was seen once is not taken again, also after a restart."""
+"""First sightings as a stream: what was seen once is not taken again, also after a restart.
+
+Each batch is compared with all keys stored so far, as in `store.unseen`, so no key is ever forgotten and
+no row is too late; a batch that is run again after a failure finds its own rows stored. A row without a
+key counts as one key. Of the rows of a key in one batch the earliest is taken.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
+from quillon.operators.store import earliest
+
+
+def take_unseen(target: str, key: str, at: str) -> Callable[[DataFrame, int], None]:
+    """Adds to `target` the first row of each key of a batch that is not stored there yet."""
+
+    def take(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        # with the batch's schema a folder without rows can be read as well
+        spark.createDataFrame([], batch.schema).write.mode("append").parquet(target)
+        stored = spark.read.schema(batch.schema).parquet(target).select(key).distinct().withColumnRenamed(key, "_stored")
+        new = batch.join(stored, batch[key].eqNullSafe(stored["_stored"]), "left_anti")
+        earliest(new, [key], [at]).write.mode("append").parquet(target)
 
-def first_seen(rows: DataFrame, key: str, at: str, lateness: str = "365 days") -> DataFrame:
-    """The first row of each key; keys are kept as long as a row may be late."""
-    return rows.withWatermark(at, lateness).dropDuplicatesWithinWatermark([key])
+    return take
 
 
 def run_available(spark: SparkSession, source: str, schema, target: str, checkpoint: str, key: str, at: str) -> None:
     """Take in what has arrived since the last run and stop."""
     rows = spark.readStream.schema(schema).parquet(source)
-    q = first_seen(rows, key, at).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q = rows.writeStream.foreachBatch(take_unseen(target, key, at)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()

@@ -94,3 +94,15 @@ def test_catalogue_matches_its_sql(spark):
         ours = Counter(tuple(plain(v) for v in r) for r in df.select(*cols).collect())
         cur = con.execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in cols)} FROM ({sql})")
         assert ours == Counter(tuple(plain(v) for v in r) for r in cur.fetchall()), name
+
+
+def test_stream_never_forgets_and_takes_late_rows(spark, tmp_path):
+    src, dst, cp = (str(tmp_path / x) for x in ("src", "dst", "cp"))
+    schema = "url_hash string, fetched_at timestamp"
+    batches = [[("a", dt.datetime(2024, 10, 1))], [("new", dt.datetime(2027, 9, 1))], [("late", dt.datetime(2024, 11, 1))], [("a", dt.datetime(2027, 9, 2)), ("b", dt.datetime(2027, 9, 3)), ("b", dt.datetime(2027, 9, 2))]]
+    for rows in batches:
+        df = spark.createDataFrame(rows, schema)
+        df.write.mode("append").parquet(src)
+        run_available(spark, src, df.schema, dst, cp, "url_hash", "fetched_at")
+    got = sorted(tuple(r) for r in spark.read.parquet(dst).select("url_hash", "fetched_at").collect())
+    assert got == [("a", batches[0][0][1]), ("b", dt.datetime(2027, 9, 2)), ("late", batches[2][0][1]), ("new", batches[1][0][1])]
