@@ -137,3 +137,14 @@ def test_repeated_whole_pages(spark):
     # short texts of other content, and long ones, are not error pages for being repeated
     assert found(spark, *[doc(i, "Le conseil a voté le budget de la ville.") for i in range(30)]) == []
     assert found(spark, *[doc(i, page.format(i) + "\nUn long article." * 60) for i in range(30)]) == []
+
+
+def test_bodies_of_pages_with_a_residue(spark, tmp_path):
+    from quillon.llm.queries import queries
+
+    texts = pages()
+    rows = [doc(i, t + ("\nBonjour {{ prenom }}, merci de votre message." if i == 7 else "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in queries()["p5_bodies"](spark, str(tmp_path)).collect()}
+    assert len(got) == 40 and got[7]["n_removed"] >= sum(line in AROUND for line in texts[7].split("\n"))
+    assert not set(got[7]["text"].split("\n")) & set(AROUND)
