@@ -8,9 +8,10 @@ there in a further pass over these documents only, up to PASSES. The other bucke
 brute force, and what remains after the last pass by brute force in blocks of BLOCK rows against each
 other, so nothing is dropped and no task holds a whole bucket. Pairs whose 256-bit minhash sketches
 agree far less than the threshold asks are left out (a margin of about 3.5 standard deviations); the
-others are verified on the full sets. Runs are repeated until a pair just at the threshold is found with
-a probability of TARGET_RECALL, on the cautious assumption that it always has to pass two levels; more
-similar pairs, and pairs that meet in a small bucket at once, are found more surely.
+others are verified on the full sets. BRANCH is so wide that a pair at the threshold shares more than one
+path on every level, and runs are repeated until such a pair is found with a probability of TARGET_RECALL
+at the last level of the last pass; more similar pairs, and pairs that meet in a small bucket earlier,
+are found more surely.
 
 Documents with equal sets of shingles form a class; only one representative of each goes through the
 join. The results are classes and links between representatives, and, where asked, all pairs.
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from quillon.session import cut
 from quillon.skew import join_counted
 
-TARGET_RECALL, BRANCH, PASSES, LIMIT, BLOCK = 0.99, (2.0, 2.0, 1.0, 1.0), 4, 200, 2000
+TARGET_RECALL, BRANCH, PASSES, LIMIT, BLOCK = 0.99, (2.0, 2.0, 2.0), 3, 200, 2000
 #: Texts whose sets are computed together.
 AT_ONCE = 500
 #: Keys are broadcast up to this number (8 MB), beyond it they are joined by a shuffle.
@@ -70,13 +71,21 @@ class Shape:
     min_words: int = 1
 
 
-def runs_for(threshold: float, recall: float = TARGET_RECALL, branch: tuple[float, ...] = BRANCH) -> int:
-    """Runs that find a pair at the threshold with this probability: 6 at 0.5, 4 at 0.8.
+def found_at(threshold: float, branch: tuple[float, ...] = BRANCH, passes: int = PASSES) -> float:
+    """Probability that one run brings a pair at the threshold through all levels of all passes.
 
-    Two sets of equal size share 2 t / (1 + t) of their tokens, so this part of the chosen ones.
+    Two sets of equal size share 2 t / (1 + t) of their tokens, so this part of the chosen ones; the shared
+    paths are a branching process, whose survival is followed from the last level to the first.
     """
-    step = 1 - math.exp(-branch[0] * 2 * threshold / (1 + threshold))
-    return math.ceil(math.log(1 - recall) / math.log(1 - step * step))
+    found = 1.0
+    for width in reversed(branch * passes):
+        found = 1 - math.exp(-width * 2 * threshold / (1 + threshold) * found)
+    return found
+
+
+def runs_for(threshold: float, recall: float = TARGET_RECALL, branch: tuple[float, ...] = BRANCH, passes: int = PASSES) -> int:
+    """Runs that find a pair at the threshold with this probability, however deep its buckets are split: 8 at 0.5, 4 at 0.8."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - found_at(threshold, branch, passes)))
 
 
 def shingle_sets(texts: list[str | None], shape: Shape) -> list[np.ndarray | None]:
@@ -288,7 +297,7 @@ class Versions:
 
 def versions(docs: DataFrame, shape: Shape = Shape(), runs: int | None = None, branch: tuple[float, ...] = BRANCH, passes: int = PASSES, limit: int = LIMIT, block: int = BLOCK) -> Versions:
     """Classes of equal sets and the links between their representatives."""
-    runs = runs or runs_for(shape.threshold, branch=branch)
+    runs = runs or runs_for(shape.threshold, branch=branch, passes=passes)
     once = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     sig = cut(signed(once.withColumn("roots", F.sequence(F.lit(1).cast("long"), F.lit(runs).cast("long"))), shape, branch))
     slim = sig.select("doc_id", "d1", "d2").distinct()

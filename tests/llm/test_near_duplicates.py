@@ -86,3 +86,30 @@ def test_a_chain_of_versions_is_one_group(spark):
         rows.append((i, " ".join(words), 0, 0))
     got = {r["group_id"] for r in N.groups(N.versions(spark.createDataFrame(rows, DOCS))).collect()}
     assert got == {0}
+
+
+def test_runs_reach_the_target_at_every_depth():
+    for t in (0.5, 0.8):
+        # each level keeps at least one shared path on average, and the runs suffice at the greatest depth
+        assert all(width * 2 * t / (1 + t) >= 1 for width in N.BRANCH)
+        runs = N.runs_for(t)
+        shared, found = 2 * t / (1 + t), 0
+        rng = N.np.random.default_rng(3)
+        for _ in range(3000):
+            paths = N.np.ones(runs, int)
+            for width in N.BRANCH * N.PASSES:
+                # many paths die out no more
+                paths = rng.poisson(N.np.minimum(paths, 1000) * width * shared)
+            found += paths.any()
+        assert found / 3000 >= N.TARGET_RECALL - 0.005
+
+
+def test_pairs_in_hot_groups_are_found(spark):
+    # all texts are versions of one, so every bucket is split down to the last level
+    rnd = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(i, " ".join(w if rnd.random() > 0.055 else f"x{i}_{k}" for k, w in enumerate(base)), 0, 0) for i in range(60)]
+    shape = N.Shape(3, 0.5, 30)
+    want = brute(rows, shape)
+    got = {tuple(r) for r in N.all_pairs(N.versions(spark.createDataFrame(rows, DOCS), shape, limit=3, block=4)).collect()}
+    assert got <= want and len(got) >= N.TARGET_RECALL * len(want)
