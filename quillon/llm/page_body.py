@@ -3,8 +3,9 @@
 Method: maximum-scoring subsequences. Words score positive and marks of the page (separators, prompts,
 words of menus and notices) negative; the weights are log-odds learned from labelled pages (logistic regression). A linear
 scan (Ruzzo and Tompa) finds the contiguous stretches of lines with the best sums; lines within them
-that themselves score negative (advertising, pointers in mid-article) are cut out. An article is often
-interrupted by the page, so all maximal stretches are kept, not the best one only.
+that clearly score negative (advertising, pointers in mid-article) are cut out, a short heading that
+scores a little below zero stays. An article is often interrupted by the page, so all stretches that sum
+up to REGION are kept besides the best one; a line that scores a little above zero far from them is not.
 
 The weights are fitted on a bounded sample: the lines of the `sample` pages (SAMPLE by default) that
 come first by hash, labelled by the wordings in PAGE and by the form of article lines; lines that are
@@ -55,6 +56,8 @@ _NUMBERS = re.compile(r"\d(?:[\d .,:]*\d)?")
 _SEPARATORS = frozenset("|/>»·›•–→©[]")
 _DROPPED = re.compile("[^\\x00-\\x7f»·›•–→©]")
 RIDGE = 1e-6
+#: Least sum of a stretch besides the best one, and the score below which a line within a stretch is cut.
+REGION, CLEAR = 3.0, -1.0
 
 
 def fold(line: str) -> str:
@@ -152,8 +155,11 @@ def page_lines(text: str, w: dict[str, float]) -> list[int]:
     at = [i for i, line in enumerate(lines) if line.strip()]
     scores = [line_score(lines[i], w) for i in at]
     article = set()
-    for a, b in best_stretches(scores):
-        article.update(at[k] for k in range(a, b) if scores[k] > 0)
+    stretches = [(sum(scores[a:b]), a, b) for a, b in best_stretches(scores)]
+    least = min(REGION, max((total for total, _, _ in stretches), default=0.0))
+    for total, a, b in stretches:
+        if total >= least:
+            article.update(at[k] for k in range(a, b) if scores[k] > CLEAR)
     return [i + 1 for i in at if i not in article]
 
 

@@ -148,3 +148,10 @@ def test_bodies_of_pages_with_a_residue(spark, tmp_path):
     got = {r["doc_id"]: r for r in queries()["p5_bodies"](spark, str(tmp_path)).collect()}
     assert len(got) == 40 and got[7]["n_removed"] >= sum(line in AROUND for line in texts[7].split("\n"))
     assert not set(got[7]["text"].split("\n")) & set(AROUND)
+
+
+def test_the_scan_decides_on_lines_near_zero():
+    w = {"": 0.0, "phrase": 8.0, "titre": -0.5, "lien": -9.0, "peu": 1.0}
+    # a heading within the article stays, a pointer within it is cut, a weak line far from it is cut, and so is a heading there
+    assert B.page_lines("\n".join(["peu", "lien", "phrase", "titre", "phrase", "lien", "phrase", "lien", "titre"]), w) == [1, 2, 6, 8, 9]
+    assert B.page_lines("peu\nlien", w) == [2]
