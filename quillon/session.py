@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import zipfile
 from pathlib import Path
@@ -68,3 +69,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: computed once, stored in the shared folder, survives lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Give back the disk of shuffles and checkpoints that nothing refers to any more.
+
+    Spark removes them when the driver happens to collect its garbage (half an hour by default), so the
+    steps of a long job would pile up. To be called between steps, not within loops of small ones.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

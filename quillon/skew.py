@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.session import cut
+
 #: A key is heavy when it holds at least this share of the rows; so there are at most 1 / HEAVY_SHARE heavy keys.
 HEAVY_SHARE = 0.001
 SALTS = 64
@@ -27,6 +29,35 @@ def join_counted(rows: DataFrame, groups: DataFrame, keys: list[str], count_col:
     return salted.join(groups.withColumn("_salt", F.explode(spread)), [*keys, "_salt"]).drop("_salt")
 
 
+#: Rows of one side that meet in a cell of `join_cells`.
+CELL = 1000
+
+
+def join_cells(left: DataFrame, right: DataFrame, keys: list[str], cell: int = CELL) -> DataFrame:
+    """Inner join of two sides that may both repeat a key very often.
+
+    A key with more than `cell` rows on a side is cut into blocks by a hash of the whole row, and each block of
+    one side meets each of the other: no task gets more than about cell x cell of its pairs at once. The blocks
+    are stored (only keys beyond `cell`, so few), and broadcast up to BROADCAST_ROWS of them. Keys that are
+    null join nothing. Both sides are read twice, so they should be stored.
+    """
+    def many(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(cell)).cast("int").alias(name)).where(F.col(name) > 1)
+
+    parts = cut(many(left, "_l").join(many(right, "_r"), keys, "full_outer"))
+    n = parts.count()
+    if not n:
+        return left.join(right, keys)
+    parts = F.broadcast(parts) if n <= BROADCAST_ROWS else parts
+
+    def spread(rows: DataFrame, own: str, other: str, i: str, j: str) -> DataFrame:
+        marked = rows.join(parts, keys, "left").withColumns({own: F.coalesce(own, F.lit(1)), other: F.coalesce(other, F.lit(1))})
+        block = F.pmod(F.xxhash64(*rows.columns), F.col(own)).cast("int")
+        return marked.withColumns({i: block, j: F.explode(F.sequence(F.lit(0), F.col(other) - 1))}).drop("_l", "_r")
+
+    return spread(left, "_l", "_r", "_i", "_j").join(spread(right, "_r", "_l", "_j", "_i"), [*keys, "_i", "_j"]).drop("_i", "_j")
+
+
 #: Keys are broadcast up to this number (8 MB of numbers), beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
