@@ -17,7 +17,7 @@ Documents with equal sets of shingles form a class; only one representative of e
 join. The results are classes and links between representatives, and, where asked, all pairs.
 
 Defined results: null texts, empty ones and those with less than `min_words` words take no part,
-nor do rows without a doc_id; rows stored twice count once, a doc_id with several texts is compared by
+nor do rows without a doc_id; a text of fewer than k words is one shingle of all its words; rows stored twice count once, a doc_id with several texts is compared by
 each of them (its highest similarity counts), never with itself; ties in a class go to the smallest
 doc_id; an empty table gives empty results.
 """
@@ -37,10 +37,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.session import cut
-from quillon.skew import join_counted
+from quillon.session import cut, release
+from quillon.skew import join_cells, join_counted
 
-TARGET_RECALL, BRANCH, PASSES, LIMIT, BLOCK = 0.99, (2.0, 2.0, 2.0), 3, 200, 2000
+TARGET_RECALL, BRANCH, PASSES, LIMIT, BLOCK = 0.98, (2.5, 2.5, 2.5), 3, 400, 2000
 #: Texts whose sets are computed together.
 AT_ONCE = 500
 #: Keys are broadcast up to this number (8 MB), beyond it they are joined by a shuffle.
@@ -84,7 +84,7 @@ def found_at(threshold: float, branch: tuple[float, ...] = BRANCH, passes: int =
 
 
 def runs_for(threshold: float, recall: float = TARGET_RECALL, branch: tuple[float, ...] = BRANCH, passes: int = PASSES) -> int:
-    """Runs that find a pair at the threshold with this probability, however deep its buckets are split: 8 at 0.5, 4 at 0.8."""
+    """Runs that find a pair at the threshold with this probability, however deep its buckets are split: 4 at 0.5, 3 at 0.8."""
     return math.ceil(math.log(1 - recall) / math.log(1 - found_at(threshold, branch, passes)))
 
 
@@ -105,7 +105,12 @@ def shingle_sets(texts: list[str | None], shape: Shape) -> list[np.ndarray | Non
     at = 0
     for ws in words:
         n = len(ws)
-        out.append(np.unique(total[at : at + n - shape.k + 1]) if n >= max(shape.min_words, shape.k) else None)
+        if n >= shape.k and n >= shape.min_words:
+            out.append(np.unique(total[at : at + n - shape.k + 1]))
+        elif n and n >= shape.min_words:
+            out.append(np.array([xxhash.xxh3_64_intdigest(" ".join(ws), seed=n)], np.uint64))
+        else:
+            out.append(None)
         at += n
     return out
 
@@ -222,8 +227,16 @@ def _alike(threshold: float) -> F.Column:
 _ROW = ["doc_id", "n", "s0", "s1", "s2", "s3"]
 
 
-def _in_pass(reps: DataFrame, levels: int, limit: int, block: int, last: bool) -> tuple[list[DataFrame], DataFrame | None]:
-    """Pairs of the buckets of one pass, and (doc_id, key) of those that are to be split further."""
+def _near(pairs: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of pairs (x, y) whose sketches agree, stored; the shuffles behind them are given back."""
+    kept = pairs.where((F.col("x.doc_id") < F.col("y.doc_id")) & _alike(threshold))
+    out = cut(kept.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct())
+    release(pairs.sparkSession)
+    return out
+
+
+def _in_pass(reps: DataFrame, threshold: float, levels: int, limit: int, block: int, last: bool) -> tuple[list[DataFrame], DataFrame | None]:
+    """(a, b) pairs of the buckets of one pass, and (doc_id, key) of those that are to be split further."""
     found: list[DataFrame] = []
     big, n_big = None, 0
     for i in range(1, levels + 1):
@@ -239,32 +252,32 @@ def _in_pass(reps: DataFrame, levels: int, limit: int, block: int, last: bool) -
         top = big if n_big <= BROADCAST_KEYS else big.orderBy(F.desc("size")).limit(BROADCAST_KEYS)
         kept = rows.join(F.broadcast(top.select("key")), "key", "left_anti") if n_big else rows
         small = kept.join(sizes.where(F.col("size") <= most).select("key"), "key", "left_semi")
-        found.append(_pairs_in(small, ["key"], _ROW))
+        found.append(_near(_pairs_in(small, ["key"], _ROW), threshold))
         if not n_big:
             return found, None
         if i < levels:
             big = big.select("key")
     met = rows.join(F.broadcast(big) if n_big <= BROADCAST_KEYS else big, "key")
     if not last:
-        return found, met.select("doc_id", "key").distinct()
+        return found, cut(met.select("doc_id", "key").distinct())
     cells = _pairs_in(blocks(met, "key", "size", "doc_id", block), ["cell", "same"], [*_ROW, "own", "same"])
     # in a cell of two blocks only rows of different blocks meet
-    found.append(cells.where(F.col("x.same") | (F.col("x.own") != F.col("y.own"))))
+    found.append(_near(cells.where(F.col("x.same") | (F.col("x.own") != F.col("y.own"))), threshold))
     return found, None
 
 
 def candidates(docs: DataFrame, reps: DataFrame, shape: Shape, branch: tuple[float, ...] = BRANCH, passes: int = PASSES, limit: int = LIMIT, block: int = BLOCK) -> DataFrame:
     """(a, b) pairs of representatives that share a bucket and whose sketches agree; reps: the first pass's `signed` rows."""
-    out = []
+    out: list[DataFrame] = []
     for k in range(passes):
-        found, rest = _in_pass(reps, len(branch), limit, block, last=k == passes - 1)
-        kept = [x.where((F.col("x.doc_id") < F.col("y.doc_id")) & _alike(shape.threshold)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")) for x in found]
-        out.append(cut(reduce(DataFrame.unionByName, kept).distinct()))
+        found, rest = _in_pass(reps, shape.threshold, len(branch), limit, block, last=k == passes - 1)
+        out += found
         if rest is None:
             break
         # a document has few buckets in a pass (the product of BRANCH a root), so its list is short
         roots = rest.groupBy("doc_id").agg(F.collect_list("key").alias("roots"))
         reps = cut(signed(docs.select("doc_id", "text").join(roots, "doc_id"), shape, branch))
+        release(docs.sparkSession)
     return reduce(DataFrame.unionByName, out).distinct()
 
 
@@ -279,9 +292,10 @@ def verified(docs: DataFrame, pairs: DataFrame, shape: Shape) -> DataFrame:
                 yield pd.DataFrame(got, columns=["doc_id", "set"])
 
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    sets = _semi(docs.select("doc_id", "text"), ids, ids.count(), "doc_id").mapInPandas(run, "doc_id long, set array<long>")
+    sets = cut(_semi(docs.select("doc_id", "text"), ids, ids.count(), "doc_id").mapInPandas(run, "doc_id long, set array<long>"))
+    # a document may have very many partners: its set goes to each cell of them once
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
+    both = join_cells(join_cells(pairs, left, ["a"]), right, ["b"]).withColumn("both", F.size(F.array_intersect("sa", "sb")))
     share = F.col("both") / (F.size("sa") + F.size("sb") - F.col("both"))
     near = both.select("a", "b", share.alias("similarity")).where(F.col("similarity") >= shape.threshold)
     return near.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
@@ -313,14 +327,15 @@ def versions(docs: DataFrame, shape: Shape = Shape(), runs: int | None = None, b
         reps, members = cut(sig.join(others, own, "left_anti")), slim.join(copies, own, "left")
     members = members.select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("size", F.lit(1)).alias("size"))
     pairs = cut(candidates(once, reps, shape, branch, passes, limit, block))
-    return Versions(members, verified(once, pairs, shape))
+    return Versions(cut(members), cut(verified(once, pairs, shape)))
 
 
 def all_pairs(v: Versions, limit: int = 1000) -> DataFrame:
     """(doc_id_a, doc_id_b): the links and classes spelled out for every document. The result grows with the square of a class."""
     m = v.members
     left, right = m.select(F.col("doc_id").alias("x"), F.col("rep").alias("a")), m.select(F.col("doc_id").alias("y"), F.col("rep").alias("b"))
-    across = v.links.select("a", "b").join(left, "a").join(right, "b").select("x", "y")
+    # most representatives stand for themselves; the links of classes are spelled out cell by cell
+    across = join_cells(cut(join_cells(v.links.select("a", "b"), left, ["a"])), right, ["b"]).select("x", "y")
     many = m.where(F.col("size") > 1)
     cells = blocks(many, "rep", "size", "doc_id", limit)
     inside = _pairs_in(cells, ["cell", "same"], ["doc_id", "own", "same"]).where(F.col("x.same") | (F.col("x.own") != F.col("y.own")))
@@ -334,18 +349,24 @@ def groups(v: Versions) -> DataFrame:
     Labels are lowered along the links and then followed to their own label (pointer jumping), each
     round written to the shared folder, until none changes.
     """
-    links = cut(v.links.select("a", "b"))
-    edges = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = cut(edges.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))
+    links = v.links.select("a", "b")
+    edges = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = cut(edges.groupBy(F.col("a").alias("node")).agg(F.min("a").alias("label"), F.count("*").alias("n_links")))
     while True:
-        near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("low"))
-        low = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("was"), F.least("label", "low").alias("label"))
-        up = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = cut(low.join(up, "label", "left").select("node", "was", F.least("label", F.coalesce("further", "label")).alias("label")))
-        labels = new.select("node", "label")
-        if not new.where(F.col("was") != F.col("label")).limit(1).count():
+        # nodes of very many links are salted, and so are labels that very many nodes have come to
+        near = join_counted(edges, labels.withColumnRenamed("node", "b"), ["b"], "n_links").groupBy("a").agg(F.min("label").alias("low"))
+        low = cut(labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("was"), F.least("label", "low").alias("label"), "n_links"))
+        used = cut(low.groupBy("label").agg(F.count("*").alias("_n")))
+        up = cut(used.join(labels.select(F.col("node").alias("label"), F.col("label").alias("further")), "label"))
+        new = cut(join_counted(low, up, ["label"], "_n").select("node", "was", F.least("label", "further").alias("label"), "n_links"))
+        labels = new.select("node", "label", "n_links")
+        if new.where(F.col("was") != F.col("label")).isEmpty():
             break
-    degree = edges.groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n_links"))
-    known = labels.select(F.col("node").alias("rep"), "label").join(degree, "rep")
-    out = v.members.join(known, "rep", "left")
+        release(edges.sparkSession)
+    known = labels.select(F.col("node").alias("rep"), "label", "n_links")
+    # only classes of several documents can be hot, and those are joined in cells
+    many, one = v.members.where(F.col("size") > 1), v.members.where(F.col("size") == 1)
+    linked = join_cells(many, known, ["rep"])
+    alone = many.join(known.select("rep"), "rep", "left_anti").withColumns({"label": F.lit(None).cast("long"), "n_links": F.lit(None).cast("long")})
+    out = one.join(known, "rep", "left").unionByName(linked).unionByName(alone)
     return out.select("doc_id", F.coalesce("label", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("size").alias("n_copies"))

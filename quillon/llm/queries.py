@@ -11,7 +11,7 @@ from quillon.llm import encodings, ledger, lookalikes, mixing, near_duplicates,
 from quillon.session import cut, load, ship
 from quillon.skew import without
 
-#: TESTDATA.md fixes this shape for p7_found; elsewhere the defaults hold.
+#: TESTDATA.md fixes this shape for the versions of problem 7.
 P7 = near_duplicates.Shape(k=3, threshold=0.5, min_words=100)
 KEY = ["person", "axis", "quote_fr"]
 
@@ -137,7 +137,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_groups(spark: SparkSession, d: str) -> DataFrame:
-    return near_duplicates.groups(near_duplicates.versions(_docs(spark, d)))
+    return near_duplicates.groups(near_duplicates.versions(_docs(spark, d), P7))
 
 
 def p8_packs(spark: SparkSession, d: str) -> DataFrame:

@@ -72,7 +72,7 @@ def test_groups_nulls_and_copies(spark):
     rows = [(5, text, 0, 0), (9, text.upper(), 0, 0), (7, near, 0, 0), (7, near, 0, 0), (None, near, 0, 0), (1, None, 0, 0), (2, "", 0, 0), (3, "court", 0, 0), (4, " ".join(f"v{i}" for i in range(90)), 0, 0)]
     v = N.versions(spark.createDataFrame(rows, DOCS))
     got = {r["doc_id"]: (r["group_id"], r["n_links"], r["n_copies"]) for r in N.groups(v).collect()}
-    assert got == {5: (5, 1, 2), 9: (5, 1, 2), 7: (5, 1, 1), 4: (4, 0, 1)}
+    assert got == {5: (5, 1, 2), 9: (5, 1, 2), 7: (5, 1, 1), 4: (4, 0, 1), 3: (3, 0, 1)}
     assert {tuple(r) for r in N.all_pairs(v).collect()} == {(5, 7), (5, 9), (7, 9)}
     none = N.versions(spark.createDataFrame([], DOCS))
     assert N.all_pairs(none).count() == 0 and N.groups(none).count() == 0
@@ -113,3 +113,32 @@ def test_pairs_in_hot_groups_are_found(spark):
     want = brute(rows, shape)
     got = {tuple(r) for r in N.all_pairs(N.versions(spark.createDataFrame(rows, DOCS), shape, limit=3, block=4)).collect()}
     assert got <= want and len(got) >= N.TARGET_RECALL * len(want)
+
+
+def test_short_copies_and_short_texts(spark):
+    rows = [(1, "Deux mots", 0, 0), (2, "deux  MOTS !", 0, 0), (3, "mots deux", 0, 0), (4, "a b c d e", 0, 0), (5, "A, b c d e.", 0, 0), (6, "...", 0, 0)]
+    v = N.versions(spark.createDataFrame(rows, DOCS))
+    assert {tuple(r) for r in N.all_pairs(v).collect()} == {(1, 2), (4, 5)}
+    got = {r["doc_id"]: r["group_id"] for r in N.groups(v).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
+
+
+def test_a_hub_and_a_hot_class_are_joined_in_cells(spark, monkeypatch):
+    from quillon import skew
+
+    monkeypatch.setattr(skew.join_cells, "__defaults__", (3,))
+    rnd = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(i, " ".join(base), 0, 0) for i in range(12)]
+    rows += [(20 + i, " ".join(w if k != 7 * i + 3 else f"x{i}" for k, w in enumerate(base)), 0, 0) for i in range(14)]
+    rows += [(50 + i, " ".join(rnd.choice(["q", "r", "s", "t"]) + str(rnd.randrange(500)) for _ in range(120)), 0, 0) for i in range(5)]
+    shape = N.Shape(3, 0.5, 30)
+    v = N.versions(spark.createDataFrame(rows, DOCS), shape)
+    want = brute(rows, shape)
+    assert {tuple(r) for r in N.all_pairs(v, limit=4).collect()} == want
+    degree = {}
+    for a, b in want:
+        degree.setdefault(a, set()).add(b)
+        degree.setdefault(b, set()).add(a)
+    got = {r["doc_id"]: r["group_id"] for r in N.groups(v).collect()}
+    assert all(got[d] == 0 for d in degree) and len(got) == len(rows)
