@@ -4,7 +4,9 @@ Method: chosen-path join. In each of several runs a document follows the shared
 hash falls below BRANCH / size of its set: level one splits all documents on such tokens, and a bucket
 with more than LIMIT documents is split again on further tokens, level by level. The levels of BRANCH
 are made in one pass over the texts; documents whose bucket is larger than BLOCK after them go on from
-there in a further pass over these documents only, up to PASSES. The other buckets are compared by
+there in a further pass over these documents only, up to PASSES; from then on paths are chosen from a
+consistent sample of SAMPLE tokens of each set (those of the least hash), so that no text is read or moved
+again. The other buckets are compared by
 brute force, and what remains after the last pass by brute force in blocks of BLOCK rows against each
 other, so nothing is dropped and no task holds a whole bucket. Pairs whose 256-bit minhash sketches
 agree far less than the threshold asks are left out (a margin of about 3.5 standard deviations); the
@@ -46,6 +48,8 @@ AT_ONCE = 500
 #: Keys are broadcast up to this number (8 MB), beyond it they are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 SKETCH_BITS = 256
+#: Tokens of a set that are kept for the further passes.
+SAMPLE = 64
 
 _WORDS = re.compile(r"[^\W_]+")
 _RNG = np.random.default_rng(7)
@@ -124,13 +128,26 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(bit.astype(np.uint8)).view(">i8").astype(np.int64)
 
 
-def paths(tokens: np.ndarray, roots: np.ndarray, branch: tuple[float, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+def short_tokens(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> _U(32)).astype(np.uint32)
+
+
+def sample(t: np.ndarray, size: int = SAMPLE) -> np.ndarray:
+    """The tokens of the least hash: of two sets, shared tokens are sampled together."""
+    if len(t) <= size:
+        return t
+    with np.errstate(over="ignore"):
+        h = (t ^ (t >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+        h ^= h >> np.uint32(12)
+    return t[np.argpartition(h, size)[:size]]
+
+
+def paths(t: np.ndarray, roots: np.ndarray, branch: tuple[float, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each level (place of the path above, token): the chosen paths below all roots; at level one the place is that of the root."""
-    t = (tokens >> _U(32)).astype(np.uint32)
     seed = (roots.astype(np.uint64) * _U(0x9E3779B97F4A7C15) >> _U(31)).astype(np.uint32)
     out = []
     for width in branch:
-        below = np.uint32(min(int(width / len(tokens) * 2.0**32), 2**32 - 1))
+        below = np.uint32(min(int(width / len(t) * 2.0**32), 2**32 - 1))
         with np.errstate(over="ignore"):
             h = (t[None, :] ^ seed[:, None]) * np.uint32(0x85EBCA6B)
             h ^= h >> np.uint32(13)
@@ -148,26 +165,37 @@ def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else [], kind))
 
 
-def signed(docs: DataFrame, shape: Shape, branch: tuple[float, ...] = BRANCH) -> DataFrame:
-    """Each document's size of set, digest of set (d1, d2), sketch (s0 to s3), roots and chosen paths below them (place pI, token tI).
+def _tree_fields(branch: tuple[float, ...]) -> str:
+    return "roots array<long>, " + ", ".join(f"p{i} array<smallint>, t{i} array<int>" for i in range(1, len(branch) + 1))
+
+
+def _tree_columns(tokens: list[np.ndarray], roots: list[np.ndarray], branch: tuple[float, ...]) -> list[pa.Array]:
+    trees = [paths(t, r.view(np.uint64), branch) for t, r in zip(tokens, roots)]
+    cols = [_lists(roots, pa.int64())]
+    for level in range(len(branch)):
+        cols += [_lists([x[level][0] for x in trees], pa.int16()), _lists([x[level][1] for x in trees], pa.int32())]
+    return cols
 
-    docs: (doc_id, text, roots array<long>): the runs at first, later the buckets to be split.
+
+def signed(docs: DataFrame, shape: Shape, runs: int, branch: tuple[float, ...] = BRANCH) -> DataFrame:
+    """Each document's size of set, digest of set (d1, d2), sketch (s0 to s3), sample, and the chosen paths below each run (place pI, token tI).
+
+    docs: (doc_id, text); the roots are the runs.
     """
-    schema = "doc_id long, n int, d1 long, d2 long, s0 long, s1 long, s2 long, s3 long, roots array<long>, " + ", ".join(f"p{i} array<smallint>, t{i} array<int>" for i in range(1, len(branch) + 1))
+    schema = "doc_id long, n int, d1 long, d2 long, s0 long, s1 long, s2 long, s3 long, sample array<int>, " + _tree_fields(branch)
+    start = np.arange(1, runs + 1, dtype=np.int64)
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, roots = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_pylist()
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
         sets = shingle_sets(batch.column(1).to_pylist(), shape)
         use = [k for k, x in enumerate(sets) if x is not None]
         digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(sets[k].tobytes()) for k in use), ">i8").astype(np.int64).reshape(-1, 2)
         bits = np.array([sketch(sets[k]) for k in use], np.int64).reshape(-1, 4)
-        start = [np.array(roots[k], np.int64) for k in use]
-        trees = [paths(sets[k], r.view(np.uint64), branch) for k, r in zip(use, start)]
+        tokens = [short_tokens(sets[k]) for k in use]
         cols = [pa.array(ids[use].astype(np.int64)), pa.array(np.array([len(sets[k]) for k in use], np.int32))]
         cols += [pa.array(np.ascontiguousarray(x[:, j])) for x in (digest, bits) for j in range(x.shape[1])]
-        cols.append(_lists(start, pa.int64()))
-        for level in range(len(branch)):
-            cols += [_lists([x[level][0] for x in trees], pa.int16()), _lists([x[level][1] for x in trees], pa.int32())]
+        cols.append(_lists([sample(t).view(np.int32) for t in tokens], pa.int32()))
+        cols += _tree_columns(tokens, [start] * len(use), branch)
         return pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in schema.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +203,25 @@ def signed(docs: DataFrame, shape: Shape, branch: tuple[float, ...] = BRANCH) ->
             for at in range(0, batch.num_rows, AT_ONCE):
                 yield rows(batch.slice(at, AT_ONCE))
 
-    return docs.select("doc_id", "text", "roots").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def resumed(reps: DataFrame, branch: tuple[float, ...] = BRANCH) -> DataFrame:
+    """The next pass's rows: paths below `roots`, the buckets that are to be split, from the sample of each set."""
+    kept = ["doc_id", "n", "s0", "s1", "s2", "s3", "sample"]
+    kinds = dict(reps.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in kept) + ", " + _tree_fields(branch)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, AT_ONCE):
+                batch = whole.slice(at, AT_ONCE)
+                tokens = [np.array(x, np.int32).view(np.uint32) for x in batch.column(len(kept) - 1).to_pylist()]
+                roots = [np.array(x, np.int64) for x in batch.column(len(kept)).to_pylist()]
+                cols = [*batch.columns[: len(kept)], *_tree_columns(tokens, roots, branch)]
+                yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in schema.split(", ")])
+
+    return reps.select(*kept, "roots").mapInArrow(run, schema)
 
 
 def _level(reps: DataFrame, i: int) -> DataFrame:
@@ -266,7 +312,7 @@ def _in_pass(reps: DataFrame, threshold: float, levels: int, limit: int, block:
     return found, None
 
 
-def candidates(docs: DataFrame, reps: DataFrame, shape: Shape, branch: tuple[float, ...] = BRANCH, passes: int = PASSES, limit: int = LIMIT, block: int = BLOCK) -> DataFrame:
+def candidates(reps: DataFrame, shape: Shape, branch: tuple[float, ...] = BRANCH, passes: int = PASSES, limit: int = LIMIT, block: int = BLOCK) -> DataFrame:
     """(a, b) pairs of representatives that share a bucket and whose sketches agree; reps: the first pass's `signed` rows."""
     out: list[DataFrame] = []
     for k in range(passes):
@@ -276,8 +322,8 @@ def candidates(docs: DataFrame, reps: DataFrame, shape: Shape, branch: tuple[flo
             break
         # a document has few buckets in a pass (the product of BRANCH a root), so its list is short
         roots = rest.groupBy("doc_id").agg(F.collect_list("key").alias("roots"))
-        reps = cut(signed(docs.select("doc_id", "text").join(roots, "doc_id"), shape, branch))
-        release(docs.sparkSession)
+        reps = cut(resumed(reps.drop("roots").join(roots, "doc_id"), branch))
+        release(reps.sparkSession)
     return reduce(DataFrame.unionByName, out).distinct()
 
 
@@ -313,7 +359,7 @@ def versions(docs: DataFrame, shape: Shape = Shape(), runs: int | None = None, b
     """Classes of equal sets and the links between their representatives."""
     runs = runs or runs_for(shape.threshold, branch=branch, passes=passes)
     once = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    sig = cut(signed(once.withColumn("roots", F.sequence(F.lit(1).cast("long"), F.lit(runs).cast("long"))), shape, branch))
+    sig = cut(signed(once, shape, runs, branch))
     slim = sig.select("doc_id", "d1", "d2").distinct()
     classes = cut(slim.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")).where(F.col("size") > 1))
     # only classes of several documents are joined; all other documents represent themselves
@@ -326,7 +372,7 @@ def versions(docs: DataFrame, shape: Shape = Shape(), runs: int | None = None, b
     else:
         reps, members = cut(sig.join(others, own, "left_anti")), slim.join(copies, own, "left")
     members = members.select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("size", F.lit(1)).alias("size"))
-    pairs = cut(candidates(once, reps, shape, branch, passes, limit, block))
+    pairs = cut(candidates(reps, shape, branch, passes, limit, block))
     return Versions(cut(members), cut(verified(once, pairs, shape)))
 
 
