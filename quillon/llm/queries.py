@@ -112,8 +112,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_bodies(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d).select("doc_id", "kind", "text", "title")
     # p5_found leaves out the cases of p2, the pages that come out here are all freed of what is around the article
-    lines = cut(page_body.around(docs, page_body.weights(docs)))
-    return repeated_lines.remove_lines(docs, lines).where(F.col("kind").isin(*page_body.KINDS)).select("doc_id", "n_removed", "text")
+    return page_body.bodies(docs, page_body.weights(docs))
 
 
 def _p6_pieces(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
