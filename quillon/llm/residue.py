@@ -8,9 +8,9 @@ with the places found (see `fills`), and a sentence that holds words of its own
 A place whose value never differs is part of the wording, as in an article that cites a placeholder,
 unless its syntax is that of a template language or its value asks to be filled in; how often a record
 is repeated does not matter. Besides, sentences
-and titles that are error, blocking, expiry, removal, maintenance or script notices as a whole are
-found by the wordings they are made of; notices that a sentence of the article only mentions are not.
-Pages of other wordings are found by their repetition: the templates of whole short texts with a word of
+and titles that are error, blocking, expiry, removal, maintenance or script notices as a whole are told from
+sentences of articles by a model of words (see `notices`), fitted on labelled sentences and on a bounded
+sample of the documents (SAMPLE, the first by hash of doc_id). Pages of other wordings and languages are found by their repetition: the templates of whole short texts with a word of
 notices (in several languages) or a status number are counted over all documents, and those that stand
 in REPEATED documents or more are residues.
 
@@ -29,6 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm import notices
+from quillon.llm.sampling import first_by_hash
 from quillon.session import cut
 from quillon.skew import join_counted
 
@@ -44,42 +46,14 @@ DEFAULTS = re.compile(
     r"(?i:^[\[{<(]?\s*(?:votre|vos|your|insérer|inserer|insert|ajouter|add|saisir|enter|à compléter|a completer|à remplir|à définir|to be (?:completed|filled|defined)|placeholder|todo|tbd|xxx+)\b)"
     r"|^[\[{<(]\s*(?:NOM|PRÉNOM|PRENOM|NAME|FIRST NAME|LAST NAME|DATE|TITRE|TITLE|LIEU|PLACE|VILLE|CITY|ADRESSE|ADDRESS|E-?MAIL|TÉLÉPHONE|PHONE|MONTANT|AMOUNT|LIEN|LINK|IMAGE|PHOTO|CITATION|QUOTE|TEXTE|TEXT)\b[^\]}>)a-zà-ÿ]*[\]}>)]$"
 )
-# Sentences that are a notice as a whole, from their beginning on.
-NOTICES = [
-    r"(?:erreur|error|http|http/1\.\d|code(?: d'erreur)?|statut|status)\s*:?\s*[45]\d\d\b", r"[45]\d\d\s*(?:[–—:-](?!\s*\d)|error|erreur|not found|forbidden|bad gateway|service|internal|gateway|page|accès|access)",
-    r"(?:oups|oops|désolé|sorry|whoops)\s*[!,.…]*\s*(?:rien|nothing|la page|the page|cette page|this page|we |nous |une erreur|an error|something|le contenu)", r"rien ne se trouve à l'adresse",
-    r"(?:la|cette|the|this) page (?:\S+ ){0,2}(?:est introuvable|n'existe (?:pas|plus)|n'est (?:pas|plus) disponible|a été (?:supprimée|déplacée|retirée)|is not available|(?:does not|doesn't|no longer) exists?|cannot be found|could not be found|has been (?:moved|removed|deleted)|nécessite|requires)",
-    r"(?:page|document|article|fichier|file|contenu|content) (?:non trouvée?|introuvable|not found|indisponible|unavailable|supprimée?|expirée?)", r"the requested (?:url|page|resource|address)\b", r"not found\b", r"nothing (?:was )?found\b",
-    r"ce (?:contenu|document|lien|message|site|service) (?:n'existe plus|n'est plus disponible|n'est pas disponible|a été (?:retiré|supprimé|effacé|déplacé)|a expiré|est (?:indisponible|expiré|temporairement))", r"cet article (?:n'existe plus|n'est plus disponible|a été (?:retiré|supprimé|dépublié)|est réservé)",
-    r"this (?:content|article|page|link|document|site|video|account) (?:is (?:no longer|not|currently|temporarily)|has (?:been|expired)|isn't|was removed|does not|requires|cannot)", r"il a été retiré le\b",
-    r"accès (?:refusé|interdit|bloqué|restreint|non autorisé)", r"access (?:denied|forbidden|blocked|to this (?:page|resource|site))", r"(?:403 )?forbidden\b", r"unauthorized\b", r"(?:you don't|you do not) have (?:permission|access)", r"vous n'(?:avez pas (?:la permission|le droit|accès|l'autorisation)|êtes pas autorisé)",
-    r"votre (?:adresse|ip|accès|navigateur|session|lien|requête|connexion|compte) (?:\S+ )?(?:a été bloquée?|est bloquée?|a expiré|est expirée?|bloque|a échoué|n'accepte pas|ne prend pas en charge|n'est pas (?:supporté|compatible)|est obsolète)", r"your (?:ip|access|session|request|browser|account|connection) (?:\S+ )?(?:has|is|was|does|blocks?)\b",
-    r"vérification (?:en cours|de sécurité|que vous)", r"(?:prouvez|confirmez|vérifions) que vous (?:n'êtes pas|êtes)", r"(?:verify|verifying|checking|confirm)(?: that)? (?:you are|if the site|your browser|you're)", r"(?:just a moment|un instant)\b(?:\s*[.…]*)$", r"attention required\b", r"please (?:complete the|verify|wait|try again|come back|stand by)", r"(?:trop de requêtes|too many requests)",
-    r"(?:session|lien|link|token|jeton) (?:expirée?|expired|invalide|invalid)",
-    r"(?:\S+ ){0,6}(?:est|is|sera|are|was) (?:actuellement |currently |temporairement |momentanément |temporarily )?(?:en maintenance|down for maintenance|under maintenance|undergoing|hors service|fermé pour maintenance)", r"(?:site|service|page|serveur)?\s*(?:en maintenance|under maintenance|maintenance (?:en cours|in progress|mode)|scheduled maintenance|maintenance programmée)", r"nous (?:effectuons|procédons à) (?:une|des) (?:opération|maintenance|mise)", r"nos équipes (?:sont mobilisées|travaillent)",
-    r"(?:service|site|serveur) (?:\S+ )?(?:momentanément |temporairement )?(?:indisponible|unavailable|inaccessible)", r"(?:bad gateway|gateway time-?out|service (?:temporarily )?unavailable|internal server error|request time-?out)", r"upstream \S+ did not (?:answer|respond)", r"le serveur \S* ?(?:a rencontré|ne répond|est (?:surchargé|indisponible))", r"the server (?:encountered|is (?:down|busy|unavailable)|did not|cannot)",
-    r"impossible d(?:'|e )(?:établir|afficher|charger|se connecter|ouvrir|accéder|traiter)", r"(?:unable|failed|cannot|could not|can't) (?:to )?(?:connect|load|establish|open|display|process)", r"error establishing a database", r"(?:une|an) (?:erreur|error) (?:est survenue|s'est produite|has occurred|occurred|inattendue|interne|technique)", r"something went wrong", r"quelque chose s'est mal passé",
-    r"(?:fatal error|parse error|warning|notice|deprecated|uncaught exception|traceback|stack trace|exception)\s*(?::|\()", r"(?:uncaught|unhandled) (?:exception|error)", r"sql ?(?:state|error)", r"segmentation fault", r"array \(|object\(",
-    r"javascript (?:is|est|must|doit|seems|semble|has|n'est|désactivé|disabled|required|requis)", r"(?:please |veuillez |merci d')?(?:enable|activez|activer|autorisez|autoriser) (?:le |les |l'exécution de |votre )?(?:javascript|scripts?|cookies)\b", r"(?:\S+ ){0,6}(?:a besoin de|nécessite|requiert|needs|requires) (?:que )?(?:javascript|l'exécution de scripts|(?:des |les )?scripts)\b(?! [a-zà-ÿ]+ent\b)(?=[^,]*$|[^,]*(?:pour|to|afin)\b)",
-    r"(?:you|vous) (?:need to|must|devez) (?:enable|activer|autoriser) (?:javascript|scripts?|les scripts|cookies)", r"(?:cette page|ce site|this page|this site|this app|cette application) (?:\S+ )?(?:nécessite|requires?|a besoin|needs|utilise javascript|ne fonctionne pas|works best)", r"pour lire (?:«[^»]*»|cet article|la suite|ce contenu), ?(?:activez|veuillez activer|autorisez)", r"noscript\b", r"(?:contenu|content) (?:non disponible|not available|indisponible) (?:sans|without) scripts?",
-    r"si rien n'apparaît", r"if nothing (?:appears|happens|loads)", r"chargement(?: en cours)?\s*(?:[.…]|$)", r"loading\s*(?:[.…]|$)", r"votre navigateur (?:ne|bloque|n'est|est|doit)", r"(?:please )?update your browser", r"mettez à jour votre navigateur",
-    r"texte (?:provisoire|de remplacement|à remplacer|factice|d'exemple|par défaut)", r"votre texte ici", r"your text here", r"(?:insérer|insérez|ajoutez|saisissez|entrez) (?:votre |le |un |du |ici )*(?:texte|contenu|titre|paragraphe|citation|image)\b", r"(?:insert|add|enter|type) (?:your |some |the )?(?:text|content|title|caption|paragraph) here", r"(?:ceci est un |this is (?:a |an |some )?)(?:texte|text|exemple|example|sample|dummy|placeholder|paragraphe)", r"(?:sample|dummy|placeholder|filler) (?:text|content|page)", r"contenu à venir", r"coming soon\s*[.!]*$", r"page en construction", r"under construction",
-    r"lorem ipsum", r"hello world\s*[.!]*$",
-]
-TITLES = [
-    r"(?:error|erreur)\s*(?:\d{3})?(?:\s*[–—:|-].*)?", r"[45]\d\d(?:\s*[–—:|-].*|\s+(?:not found|forbidden|error|erreur|bad gateway|unavailable).*)?", r"(?:erreur|error) (?:serveur|interne|server|interne du serveur)", r"page (?:non trouvée|introuvable|not found|inexistante|supprimée|expirée)(?:\s*[–—:|-].*)?", r"(?:not found|forbidden|unauthorized|bad gateway)", r"accès (?:interdit|refusé|bloqué)", r"access denied",
-    r"(?:just a moment|un instant|attention required|please wait|veuillez patienter|chargement(?: en cours)?|loading)\s*[!.…]*", r"(?:untitled(?: document)?|sans titre|document sans titre|no title|titre|title|titre de (?:la page|l'article)|page title|new page|nouvelle page|home ?page|index|default)(?:\s*[–—:|-]\s*(?:modèle|template|copie|copy|brouillon|draft)?\s*\d*)?", r"(?:site )?en maintenance", r"maintenance", r"service unavailable", r"service indisponible", r"session expirée", r"javascript (?:required|requis|is disabled)",
-    r"(?:lorem ipsum|dummy|test|titre provisoire|à compléter|xxx+|todo|tbd|n/a|null|undefined|none)\b.*",
-]
+# Fixed value: the words of filler text.
 LATIN = "lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident sunt culpa officia deserunt mollit laborum vitae turpis sapien ligula justo quam varius nunc porta nibh augue arcu felis orci massa tellus risus pretium pellentesque vestibulum curabitur donec mauris praesent vivamus aliquam phasellus".split()
 # Parts of which every mark of STRONG and WEAK, in lower case, holds at least one: what the automaton looks for.
-# NaN is looked for by itself, its letters stand in too many words. Notices need no clue: all sentences are compared with them.
+# NaN is looked for by itself, its letters stand in too many words. Notices are told by their own model.
 _CLUES = [
     "{", "[", "<", "$", "%%", "@@", "##", "*|", "__", "......", "&lt;", "undefined", "null null", "xxx", "n/a", "tbd", "todo", "fixme", "compléter", "%_", *(f"%{x}" for x in "abcdefghijklmnopqrstuvwxyz"),
 ]
 
-_NOTICE = re.compile("(?i)^[\\s\"'>*–—-]*(?:" + "|".join(f"(?:{x})" for x in NOTICES) + ")")
-_TITLE = re.compile("(?i)^\\s*(?:" + "|".join(f"(?:{x})" for x in TITLES) + ")\\s*$")
 _SENTENCE = re.compile(r"(?<=[.!?…»])\s+(?=[«\"(\[{<$%#@*_A-ZÀ-ÖØ-Þ0-9])")
 _QUOTED = re.compile(r"«[^»]*»|“[^”]*”|\"[^\"]*\"")
 _VARIABLE = re.compile(r"\{[A-Za-z]+(?:_[A-Za-z]+)+\}|<[A-Za-z]+(?:_[A-Za-z]+)+>")
@@ -223,6 +197,22 @@ def _sentences(text: str, auto: ahocorasick.Automaton) -> list[str]:
     return out
 
 
+def sentences_at(text: str, places: list[int]) -> Iterator[str]:
+    """The sentences that hold these places (in order)."""
+    done = 0
+    for at in places:
+        if at < done:
+            continue
+        start = text.rfind("\n", 0, at) + 1
+        end = text.find("\n", at)
+        for s in _SENTENCE.split(text[start : end if end >= 0 else len(text)]):
+            start = text.find(s, start) + len(s)
+            if start > at:
+                yield s
+                break
+        done = start
+
+
 def all_sentences(text: str) -> Iterator[str]:
     for line in text.split("\n"):
         if line:
@@ -236,24 +226,26 @@ def _latin(sentence: str) -> bool:
 
 #: Whole texts up to PAGE_CHARS characters are pages that may be error templates, in REPEATED documents they are.
 PAGE_CHARS, REPEATED = 600, 20
+#: Documents of which the model of notices is fitted, and log-odds from which a sentence is a notice.
+SAMPLE, NOTICE_AT = 1000, 2.2
 #: What a candidate is by itself: 3 and 2 a residue (3: even without a place), 1 only if its place is a slot, 0 a whole text, if it is repeated.
 SURE, LIKELY, OPEN, PAGE = 3, 2, 1, 0
 
 
-def candidates_of(text: str | None, title: str | None, auto: ahocorasick.Automaton) -> list[tuple[str, str, int, int | None, int | None, str | None, str | None]]:
+def candidates_of(text: str | None, title: str | None, auto: ahocorasick.Automaton, judge: notices.Judge | None = None) -> list[tuple[str, str, int, int | None, int | None, str | None, str | None]]:
     """(template, value, weight, head, place, bare) of each possible residue; the last four, of `place_of`, only where its weight is OPEN."""
+    judge = judge or notices.Judge(notices.base())
     out = []
-    if title:
-        if _TITLE.match(title) or _NOTICE.match(title):
-            out.append(("title", "", SURE, None, None, None, None))
-        elif STRONG.search(title) or any(DEFAULTS.match(m.group()) for m in WEAK.finditer(title)):
-            out.append(("title", "", SURE, None, None, None, None))
+    if title and (judge.score(title) >= NOTICE_AT or STRONG.search(title) or any(DEFAULTS.match(m.group()) for m in WEAK.finditer(title))):
+        out.append(("title", "", SURE, None, None, None, None))
     if not text:
         return out
     if len(text) <= PAGE_CHARS and _FEATURES.search(text):
         out.append((template(text), "", PAGE, None, None, None, None))
-    filler = not _LATIN.isdisjoint(_LETTERS.findall(text.lower()))
-    if any(_NOTICE.match(s) or (filler and _latin(s)) for s in all_sentences(text)):
+    low = text.lower()
+    words = set(notices.WORD.findall(low))
+    near = sentences_at(text, judge.places(text, low, words)) if len(low) == len(text) else all_sentences(text)
+    if any(judge.score(s) >= NOTICE_AT for s in near) or (not _LATIN.isdisjoint(words) and any(map(_latin, all_sentences(text)))):
         out.append(("notice", "", SURE, None, None, None, None))
     for s in all_sentences(text) if "NaN" in text else _sentences(text, auto):
         quoted = [m.span() for m in _QUOTED.finditer(s)]
@@ -280,14 +272,23 @@ def candidates_of(text: str | None, title: str | None, auto: ahocorasick.Automat
     return out
 
 
-def candidates(docs: DataFrame) -> DataFrame:
+def model(docs: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
+    """The model of notices, with the sentences and titles of at most `sample` documents as ordinary text."""
+    rows = first_by_hash(docs.select("doc_id", "text", "title"), "doc_id", sample)
+    return notices.train([[*all_sentences(r["text"] or ""), *([r["title"]] if r["title"] else [])] for r in rows])
+
+
+def candidates(docs: DataFrame, w: dict[str, float]) -> DataFrame:
     """(doc_id, template, value, weight, head, place, bare, anchor)."""
+    shared = docs.sparkSession.sparkContext.broadcast(w)
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        auto = _automaton()
+        auto, judge = _automaton(), notices.Judge(shared.value)
         for pdf in pdfs:
-            rows = [(d, *c) for d, x, t in zip(pdf["doc_id"], pdf["text"], pdf["title"]) for c in candidates_of(x, t, auto)]
-            yield pd.DataFrame(rows, columns=["doc_id", "template", "value", "weight", "head", "place", "bare", "anchor"]).astype({"head": "Int64", "place": "Int64"})
+            rows = [(d, *c) for d, x, t in zip(pdf["doc_id"], pdf["text"], pdf["title"]) for c in candidates_of(x, t, auto, judge)]
+            # as objects, for hashes beside nulls must not pass through floats
+            out = pd.DataFrame(rows, columns=["doc_id", "template", "value", "weight", "head", "place", "bare", "anchor"], dtype=object)
+            yield out.astype({"doc_id": "int64", "weight": "int32", "head": "Int64", "place": "Int64"})
 
     return docs.select("doc_id", "text", "title").where(F.col("doc_id").isNotNull()).mapInPandas(run, "doc_id long, template string, value string, weight int, head long, place long, bare string, anchor string")
 
@@ -298,7 +299,7 @@ def residues(docs: DataFrame) -> DataFrame:
     A place is a slot if its template takes two values or more, or if a sentence fills it with words
     other than the value's own.
     """
-    c = cut(candidates(docs))
+    c = cut(candidates(docs, model(docs)))
     sure = c.where(F.col("weight") > OPEN).select("doc_id")
     open_ = c.where(F.col("weight") == OPEN)
     # of a template only the least and the greatest value count: small and combined before the shuffle
