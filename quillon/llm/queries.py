@@ -207,6 +207,13 @@ def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can state; the others are tested against brute force."""
     return {
         "p1_found": f"WITH {_LINES} SELECT doc_id, CAST(line_no AS INTEGER) AS line_no FROM lines SEMI JOIN often USING (source_id, line)",
+        "p1_cleaned": f"""WITH {_LINES},
+bad AS (SELECT DISTINCT doc_id, line_no FROM lines SEMI JOIN often USING (source_id, line)),
+parts AS (SELECT doc_id, i AS line_no, x[i] AS raw FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents))),
+kept AS (SELECT doc_id, string_agg(raw, chr(10) ORDER BY line_no) AS text FROM parts ANTI JOIN bad USING (doc_id, line_no) GROUP BY ALL),
+n AS (SELECT doc_id, count(*) AS n FROM bad GROUP BY ALL)
+SELECT d.doc_id AS doc_id, CAST(coalesce(n, 0) AS INTEGER) AS n_removed, CASE WHEN d.text IS NOT NULL THEN coalesce(kept.text, '') END AS text
+FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)""",
         "p4_found": f"WITH {_KEYS} SELECT DISTINCT k.origin, s.first_no, k.no AS copy_no FROM keyed k JOIN sets s USING (origin, key) WHERE k.no <> s.first_no",
         "p4_ledger": f"WITH {_KEYS} SELECT origin, first_no, CAST(copies AS BIGINT) AS copies FROM sets",
     }

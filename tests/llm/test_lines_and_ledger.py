@@ -64,17 +64,21 @@ def test_empty_documents(spark):
     assert R.repeated_lines(spark.createDataFrame([], DOCS), 5).collect() == []
 
 
-def test_chunks_depend_on_the_line_only():
-    lines = [w.encode() for w in ("a", "bc" * 40, "é" * 100, "fin")]
-    whole = R.chunk_lines(lines)
-    for k, line in enumerate(lines):
-        alone = R.chunk_lines([b"autre", line])
-        assert np.array_equal(whole[1][whole[0] == k], alone[1][alone[0] == 1])
-    assert np.array_equal(R.chunk_lines(lines, 1)[1], whole[1])
+def test_chunks_depend_on_content_only():
+    texts = [w.encode() for w in ("a", "bc" * 40, "é" * 100, "fin", "", "une ligne\nune autre ligne " * 20)]
+    whole = R.chunk_texts(texts)
+    for k, text in enumerate(texts):
+        alone = R.chunk_texts([b"autre", text])
+        for i in range(1, 5):
+            assert np.array_equal(whole[i][whole[0] == k], alone[i][alone[0] == 1])
+        # chunks cover the text without a gap
+        b, e = whole[1][whole[0] == k], whole[2][whole[0] == k]
+        assert (not text and not len(b)) or (b[0] == 0 and e[-1] == len(text) and np.array_equal(b[1:], e[:-1]))
+    assert all(np.array_equal(x, y) for x, y in zip(R.chunk_texts(texts, 1), whole))
     # chunks come back after an insertion: content defines the cuts, not positions
     rnd = random.Random(3)
     text = " ".join(str(rnd.random()) for _ in range(300)).encode()
-    a, b = R.chunk_lines([text])[1], R.chunk_lines([text[:40] + b"xyz" + text[40:]])[1]
+    a, b = R.chunk_texts([text])[3], R.chunk_texts([text[:40] + b"xyz" + text[40:]])[3]
     assert len(set(a.tolist()) & set(b.tolist())) > 0.9 * len(a)
 
 
@@ -113,3 +117,33 @@ def test_untouched_buckets_are_carried_over(spark):
     a = ledger.batch_counts(ledger.keyed(spark.createDataFrame([(5, "a", "x", "un", ""), (7, "b", "x", "deux", "")], CLAIMS), "no", ["person", "axis", "quote_fr"]))
     b = ledger.batch_counts(ledger.keyed(spark.createDataFrame([(3, "A", "x", "UN", "")], CLAIMS), "no", ["person", "axis", "quote_fr"]))
     assert sorted((r["first_no"], r["copies"]) for r in ledger.update(a, b).collect()) == [(3, 2), (7, 1)]
+
+
+def test_lines_in_any_context(spark):
+    # the same lines after other lines, at the end of a text and alone in it, long and short
+    rnd = random.Random(9)
+    stock = ["".join(rnd.choice("abcdefghij klm") for _ in range(n)).strip() or "x" for n in (1, 3, 8, 9, 17, 40, 64, 90, 130, 200, 400) for _ in range(3)]
+    rows = []
+    for i in range(80):
+        lines = rnd.sample(stock, rnd.randint(0, 6)) + [f"seule {rnd.random()}" for _ in range(rnd.randint(0, 2))]
+        rnd.shuffle(lines)
+        rows.append((i, rnd.choice("ab"), "\n".join(lines), 0, ""))
+    got = {tuple(r) for r in R.repeated_lines(spark.createDataFrame(rows, DOCS), 5).collect()}
+    assert got == brute_lines(rows, 5)
+
+
+def test_spans_of_texts_without_line_feeds(spark):
+    rnd = random.Random(4)
+    words = lambda n: " ".join("".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 9))) for _ in range(n))
+    notice = "Reproduction  INTERDITE sans l'accord écrit de l'éditeur ; " + words(60) + " fin de la mention légale du site."
+    rows = [(i, "s", f"{words(80)} {notice if i % 2 else notice.upper()} {words(70)}", i, "k") for i in range(12)] + [(50, "t", notice, 0, "k"), (51, "s", None, 0, "k"), (52, "s", "", 0, "k"), (53, None, notice, 0, "k")]
+    df = spark.createDataFrame(rows, DOCS)
+    out = {r["doc_id"]: r for r in R.cut_spans(df, 5).collect()}
+    assert len(out) == len(rows) and out[50]["text"] == notice and out[53]["text"] == notice and out[51]["text"] is None and out[52]["text"] == ""
+    for i in range(12):
+        text, kept = rows[i][2], out[i]["text"]
+        at = text.lower().index(notice.lower())
+        assert out[i]["n_cut"] == 1 and kept.startswith(text[: at - 1]) and kept.endswith(text[at + len(notice) + 1 :])
+        # only the ends of the notice, less than a few chunks, may stay
+        assert len(kept) < len(text) - len(notice) + 400 and out[i]["h1"] == i
+    assert R.cut_spans(df.limit(0), 5).count() == 0
