@@ -32,10 +32,10 @@ HASHED = 1 << 14
 # Single-byte encodings in use, and foreign names that are not garbled.
 WRONG = ["cp1252", "latin-1", "iso8859-15", "cp1251", "cp1250", "iso8859-2", "iso8859-9", "cp437", "cp850", "mac_roman", "koi8-r", "cp866", "cp1253", "cp1254", "cp1257"]
 SINGLE = ["cp1252", "mac_roman", "cp850", "cp437", "cp1251", "cp1250"]
-NAMES = """São Belmirão João Gonçalves Ângela Ávila Évora Ítalo Óscar Úrsula Ñusta Muñoz Peña Zürich Müller Köln Größe Straße
+NAMES = """São João Gonçalves Ângela Ávila Évora Ítalo Óscar Úrsula Ñusta Muñoz Peña Zürich Müller Köln Größe Straße
 Äänekoski Öland Ås Åland Ærø Øresund Þórður Łódź Wałęsa Kraków Dvořák Čapek Škoda Žižek Đoković Győr Őrség Erdoğan İzmir
-Şişli Çelik Ștefan Brașov Țara España Málaga Čech Ångström Aïnhoa Loïc Noël Gaëlle Zoë Haÿ Œuvre Æsir Curaçao Besançon
-Nîmes Saône Rhône Béarn Âge Île Ô Où ŒUVRE ÉTÉ ÇA ÀÉÈÊ SÃO JOÃO BELMIRÃO MÜNCHEN GRÜN ÎLE HÔPITAL NOËL coração Avião pães ções""".split()
+Şişli Çelik Ștefan Brașov Țara España Málaga Čech Aïnhoa Loïc Noël Gaëlle Zoë Haÿ Œuvre Æsir Curaçao Besançon
+Nîmes Saône Rhône Béarn Âge Île Ô Où ŒUVRE ÉTÉ ÇA ÀÉÈÊ SÃO JOÃO MÜNCHEN GRÜN ÎLE HÔPITAL NOËL coração Avião pães ções""".split()
 
 
 def _wrong(data: bytes, enc: str) -> str:
@@ -108,6 +108,14 @@ def _bigrams(word: str) -> np.ndarray:
     return (h[use] % HASHED).astype(np.int64)
 
 
+_EDGES = re.compile(r"^\W+|\W+$")
+
+
+def _core(word: str) -> str:
+    """A word without what stands around it and without what is elided before it."""
+    return _EDGES.sub("", word.lower().replace("\u2019", "'")).rpartition("'")[2]
+
+
 class Model:
     """Multinomial naive Bayes over hashed byte bigrams; one class a chain."""
 
@@ -121,6 +129,7 @@ class Model:
                     np.add.at(counts[k], _bigrams(g), 1.0)
         self.log = (np.log(counts) - np.log(counts.sum(1, keepdims=True))).astype(np.float32)
         self.clean_bigrams = counts[0] > 0.5
+        self.vocabulary = {_core(w) for w in clean}
         self.letters = {w for w in clean if len(w) == 1 and w.isalpha()}
 
     def ranked(self, word: str) -> list[int]:
@@ -176,11 +185,23 @@ class Detector:
                 ok = got is not None and got != word and got.isprintable() and m.fit_of(got) - now > -2.0 and not (disguised and letters)
             else:
                 got = None if disguised else invert(word, chain)
-                ok = got is not None and got != word and all(ch.isascii() or _PLAIN.fullmatch(ch) for ch in got) and not _MIXED_CASE.search(got) and m.fit_of(got) - now > (0.0 if strange or got in m.letters else 1.5)
+                ok = got is not None and got != word and all(ch.isascii() or _PLAIN.fullmatch(ch) for ch in got) and not _MIXED_CASE.search(got) and self._gain(word, got, now, strange)
             if ok:
                 return got
         return None
 
+    def _gain(self, word: str, got: str, now: float, strange: bool) -> bool:
+        """Whether a word from a chain of single-byte encodings is surely better: foreign names read as strangely
+        as garbled words do, so the result must be a word of the sample, or the word be no name at all."""
+        m = self.model
+        gain = m.fit_of(got) - now
+        if _core(got) in m.vocabulary:
+            return gain > (0.0 if strange or got in m.letters else 1.5)
+        # a capital and then small letters with a few foreign ones among them: a name
+        bare = _EDGES.sub("", word)
+        name = bare[:1].isupper() and bare[1:].isalpha() and bare[1:].islower()
+        return gain > (0.0 if strange or got in m.letters else 1.5) and not name
+
     def repair(self, text: str) -> tuple[str, bool]:
         """(text with the garbled words restored, whether any word is garbled)."""
         if text.isascii():

@@ -1,9 +1,11 @@
 """Visually identical text in one consistent form.
 
 Method: compatibility normalization (NFKC), deletion of ignorable characters, plain spaces; then each
-word that mixes Latin with another script is a lattice of look-alike characters, searched with Viterbi
-under character bigram scores. The bigrams are counted over all rows (both scripts as they stand in
-words of one script), and a step between scripts costs SWITCH.
+word that mixes Latin with another script is a lattice of look-alike characters, in both directions (a Latin letter
+may stand for one of the other script as well), searched with Viterbi under character bigram scores. The
+bigrams are counted over all rows (both scripts as they stand in words of one script), a step between
+scripts costs SWITCH, and each character that is changed costs CHANGE. A word that mixes Latin with
+look-alikes is found even where no other form is better.
 
 Defined results: null stays null, empty stays empty; rows without an id are left out; line feeds, tabs and carriage returns are kept;
 words wholly in one script, French quotation marks, dashes and curly apostrophes are kept; a repeated
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 #: Code points below this take part in the character model (Latin, Greek, Cyrillic, Armenian).
 ALPHABET = 0x590
-SWITCH = 9.0
+SWITCH, CHANGE = 9.0, 1.0
 
 # Letters of other scripts and the Latin letters they look like.
 LOOK = dict(zip(
@@ -88,6 +90,17 @@ def pair_counts(texts: DataFrame) -> dict[tuple[int, int], int]:
     return {divmod(r["pair"], ALPHABET): r["n"] for r in rows}
 
 
+def _back() -> dict[int, dict[str, list[str]]]:
+    """For each other script, the letters that a Latin letter may stand for."""
+    out: dict[int, dict[str, list[str]]] = {}
+    for other, latin in LOOK.items():
+        out.setdefault(int(_SCRIPTS[ord(other)]) if ord(other) < ALPHABET else 5, {}).setdefault(latin, []).append(other)
+    return out
+
+
+BACK = _back()
+
+
 class Lattice:
     """Viterbi search of a word's look-alikes under the counted bigrams."""
 
@@ -107,11 +120,12 @@ class Lattice:
     def best(self, word: str) -> str:
         if word in self.known:
             return self.known[word]
-        options = [{c, LOOK.get(c, c)} for c in word]
+        scripts = {int(_SCRIPTS[ord(c)]) for c in word if c in LOOK and ord(c) < ALPHABET}
+        options = [{c, LOOK.get(c, c), *(o for k in scripts for o in BACK[k].get(c, ()))} for c in word]
         paths = {"\0": (0.0, "")}
         for i, choice in enumerate(options):
             paths = {
-                c: max(((s + self.step(p, c), w + c) for p, (s, w) in paths.items()), key=lambda x: (x[0], x[1]))
+                c: max(((s + self.step(p, c) - (CHANGE if c != word[i] else 0.0), w + c) for p, (s, w) in paths.items()), key=lambda x: (x[0], x[1]))
                 for c in sorted(choice)
             }
         out = max(((s + self.step(p, "\0"), w) for p, (s, w) in paths.items()), key=lambda x: (x[0], x[1]))[1]
@@ -120,17 +134,25 @@ class Lattice:
         return out
 
     def clean(self, text: str) -> str:
+        return self.judged(text)[0]
+
+    def judged(self, text: str) -> tuple[str, bool]:
+        """(the text in its consistent form, whether it had any other)."""
         t = base_form(text)
         if not _OTHER.search(t):
-            return t
+            return t, t != text
+        mixed = False
 
         def word(m: re.Match) -> str:
+            nonlocal mixed
             w = m.group()
             if not _OTHER.search(w) or all(_OTHER.match(c) or not c.isalpha() for c in w):
                 return w
+            mixed = mixed or any(c in LOOK for c in w)
             return self.best(w)
 
-        return _WORD.sub(word, t)
+        out = _WORD.sub(word, t)
+        return out, mixed or out != text
 
 
 def consistent(rows: DataFrame, id_col: str, text_col: str, counts: dict[tuple[int, int], int], only_changed: bool = False) -> DataFrame:
@@ -139,9 +161,8 @@ def consistent(rows: DataFrame, id_col: str, text_col: str, counts: dict[tuple[i
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lattice = Lattice(counts)
         for pdf in pdfs:
-            new = [None if t is None else lattice.clean(t) for t in pdf["text"]]
-            pdf["changed"] = [a is not None and a != b for a, b in zip(new, pdf["text"])]
-            pdf["text"] = new
+            new = [(None, False) if t is None else lattice.judged(t) for t in pdf["text"]]
+            pdf["changed"], pdf["text"] = [x[1] for x in new], [x[0] for x in new]
             yield pdf[pdf["changed"]] if only_changed else pdf
 
     return rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull()).mapInPandas(run, "id long, text string, changed boolean")

@@ -4,7 +4,8 @@ Method: Karmarkar-Karp multiway differencing. Within a block of items every item
 partition of k windows; the two partitions of the largest imbalance are merged, the fullest windows
 of the one with the emptiest of the other, until one partition of near-equal windows is left; where a
 window exceeds the capacity, k rises and the differencing is done again, then a smaller k is tried in between. k starts at the least that
-could do. Items longer than the capacity, and only these, are split: full windows and a rest.
+could do. Differencing makes all windows alike; where that leaves room, the emptiest are dissolved, the largest item first
+into the fullest window that holds it, as long as that frees a window. Items longer than the capacity, and only these, are split: full windows and a rest.
 
 Blocks are made by a hash of doc_id, of about `block_items` items each, their number following the
 number of items; so a block is bounded, whatever the sizes are, and costs at most one window's room.
@@ -15,6 +16,7 @@ repeated rows are items of their own, told apart by a running number; no items,
 
 from __future__ import annotations
 
+import bisect
 import heapq
 
 import pandas as pd
@@ -22,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_ITEMS = 750
+#: Packs up to this number are broadcast.
+MANY = 10_000
 #: Halvings between the last number of windows that was too small and the first that fits.
 BACK = 4
 
@@ -74,12 +78,41 @@ def pack_block(sizes: list[int], capacity: int) -> list[list[int]]:
             k, windows = middle, fewer
         else:
             low = middle
-    return [w for w in windows if w]
+    return dissolve([w for w in windows if w], sizes, capacity)
+
+
+def dissolve(windows: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
+    """The windows with as many of the emptiest as can be freed given away to the others.
+
+    The `k` emptiest windows are emptied together and their items put into the fullest window that holds each, the
+    largest first; what finds no room opens windows anew. Kept where that takes fewer windows; k is doubled as long as it helps.
+    """
+    best, k = windows, 1
+    while k < len(windows):
+        order = sorted(best, key=lambda w: sum(sizes[i] for i in w))
+        items = sorted((i for w in order[:k] for i in w), key=lambda i: -sizes[i])
+        kept = [list(w) for w in order[k:]]
+        room = sorted((capacity - sum(sizes[i] for i in w), n) for n, w in enumerate(kept))
+        for i in items:
+            at = bisect.bisect_left(room, (sizes[i], -1))
+            if at == len(room):
+                kept.append([i])
+                bisect.insort(room, (capacity - sizes[i], len(kept) - 1))
+            else:
+                left, n = room.pop(at)
+                kept[n].append(i)
+                bisect.insort(room, (left - sizes[i], n))
+        if len(kept) < len(best):
+            best = kept
+        k *= 2
+    return best
 
 
 def pieces(sized: DataFrame, capacities: DataFrame) -> DataFrame:
     """One row per item and capacity: whole texts, and of longer ones full pieces and a rest."""
-    x = sized.select("doc_id", "n_tokens").crossJoin(F.broadcast(capacities.select("pack_id", "capacity_tokens")))
+    caps = capacities.select("pack_id", "capacity_tokens")
+    # every item goes into every pack; a small table of packs is sent to the items
+    x = sized.select("doc_id", "n_tokens").crossJoin(F.broadcast(caps) if caps.limit(MANY + 1).count() <= MANY else caps)
     cap = F.col("capacity_tokens")
     n = F.greatest(F.ceil(F.col("n_tokens") / cap), F.lit(1)).cast("int")
     x = x.withColumn("piece_no", F.explode(F.sequence(F.lit(1), n)))
@@ -87,17 +120,16 @@ def pieces(sized: DataFrame, capacities: DataFrame) -> DataFrame:
     return x.select("pack_id", "capacity_tokens", "doc_id", "piece_no", start.alias("start_token"), F.least(F.col("n_tokens") - start, cap.cast("long")).alias("n_tokens"))
 
 
-_OUT = "pack_id int, block int, window_no int, doc_id long, piece_no int, start_token long, n_tokens long, window_tokens long, fill double"
+_OUT = "pack_id int, window_id string, doc_id long, piece_no int, start_token long, n_tokens long, window_tokens long, fill double"
 
 
-def packs(sized: DataFrame, capacities: DataFrame, max_capacities: int = 1000, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """(pack_id, block, window_no, doc_id, piece_no, start_token, n_tokens, window_tokens, fill): one row per member.
+def packs(sized: DataFrame, capacities: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """(pack_id, window_id, doc_id, piece_no, start_token, n_tokens, window_tokens, fill): one row per member.
 
-    sized: (doc_id, n_tokens); capacities: (pack_id, capacity_tokens), at most `max_capacities` rows.
+    window_id names a window within its pack: b<block>-<number>, or, of a piece that fills one, d<doc_id>-<piece>-<row>.
+    sized: (doc_id, n_tokens), stored; capacities: (pack_id, capacity_tokens).
     """
     caps = capacities.where("capacity_tokens > 0").select(F.col("pack_id").cast("int").alias("pack_id"), F.col("capacity_tokens").cast("int").alias("capacity_tokens")).distinct()
-    if caps.limit(max_capacities + 1).count() > max_capacities:
-        raise ValueError(f"more than {max_capacities} capacities")
     items = pieces(sized, caps)
     full = items.where(F.col("n_tokens") == F.col("capacity_tokens"))
     rest = items.where(F.col("n_tokens") < F.col("capacity_tokens"))
@@ -107,26 +139,25 @@ def packs(sized: DataFrame, capacities: DataFrame, max_capacities: int = 1000, b
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "piece_no"], kind="stable").reset_index(drop=True)
         sizes, cap = pdf["n_tokens"].astype(int).tolist(), int(pdf["capacity_tokens"].iloc[0])
-        pdf["window_no"] = 0
         of, total = [0] * len(sizes), [0] * len(sizes)
         for no, w in enumerate(pack_block(sizes, cap), 1):
             t = sum(sizes[i] for i in w)
             for i in w:
                 of[i], total[i] = no, t
-        pdf["window_no"], pdf["window_tokens"] = of, total
+        pdf["window_id"], pdf["window_tokens"] = [f"b{b}-{n}" for b, n in zip(pdf["block"], of)], total
         pdf["fill"] = pdf["window_tokens"] / cap
         return pdf[[c.split()[0] for c in _OUT.split(", ")]]
 
     packed = rest.groupBy("pack_id", "block").applyInPandas(run, _OUT)
-    # a full window is told by its piece: block -1, one window each
+    # rows that are stored twice fill a window each, so the number of the row goes in; `sized` is stored, so it stays
+    copy = F.monotonically_increasing_id()
     whole = full.select(
-        "pack_id", F.lit(-1).alias("block"), F.col("piece_no").alias("window_no"), "doc_id", "piece_no", "start_token", "n_tokens", F.col("n_tokens").alias("window_tokens"), F.lit(1.0).alias("fill")
+        "pack_id", F.concat(F.lit("d"), F.col("doc_id"), F.lit("-"), F.col("piece_no"), F.lit("-"), copy).alias("window_id"), "doc_id", "piece_no", "start_token", "n_tokens", F.col("n_tokens").alias("window_tokens"), F.lit(1.0).alias("fill")
     )
     return packed.unionByName(whole)
 
 
 def fills(members: DataFrame) -> DataFrame:
     """(pack_id, n_windows, n_members, n_tokens, mean_fill): how well the windows of each capacity are used."""
-    own = F.when(F.col("block") < 0, F.col("doc_id"))
-    w = members.groupBy("pack_id", "block", "window_no", own.alias("own")).agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens"), F.max("fill").alias("fill"))
+    w = members.groupBy("pack_id", "window_id").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens"), F.max("fill").alias("fill"))
     return w.groupBy("pack_id").agg(F.count("*").alias("n_windows"), F.sum("n").alias("n_members"), F.sum("tokens").alias("n_tokens"), F.avg("fill").alias("mean_fill"))

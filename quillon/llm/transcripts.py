@@ -28,6 +28,14 @@ from pyspark.sql import functions as F
 HESITATIONS = ["beuh", "euh", "euuh", "euuuh", "ehm", "heu", "heuh", "heuu", "hm", "hmm", "hum", "humm", "mh", "mhm", "mm", "mmh", "mmm", "mmhm", "pff", "pfff", "uh", "uhm"]
 NOTES = ["acclamation", "ambiance", "applaud", "applause", "bruit", "brouhaha", "chant", "chuchot", "coupure", "cri", "exclamation", "fond sonore", "generique", "grincement", "huee", "hors micro", "inaudible", "incomprehensible", "interruption", "jingle", "laugh", "micro", "murmure", "music", "musique", "noise", "pause", "protestation", "respiration", "rire", "sifflet", "silence", "sonnerie", "soupir", "sourire", "toux", "tousse", "vivats"]
 
+# Words that stand beside those of a sound note (folded).
+BESIDE = frozenset(
+    """a and assemblee au audience dans aux background banc bancs breve breves bref brefs centre commission continu coupe coupes court de des deux divers
+    droite du en et exterieur extreme faible fond fort forte fortes forts gauche general generaux groupe hemicycle hors in l la le leger legere les long longs longue
+    longues loud mouvement mouvements nourri nourris of off on par plusieurs prolonge prolongee prolonges public puis quelques salle sonore soutenu soutenus sur the tres
+    tribune tribunes un une vif vifs vive vives voix""".split()
+)
+
 _TIME = (
     r"\[\d+h\d+m\d+s\]"
     r"|\d{1,2}:\d{2}:\d{2}(?:[.,]\d+)?\s*-->(?:\s*\d{1,2}:\d{2}:\d{2}(?:[.,]\d+)?)?"
@@ -42,6 +50,22 @@ TAG = re.compile(r"</?(?:[a-z][\w.]{0,8}|v\s[^<>]*|\d[\d:.,]*)>")
 WORD = re.compile(r"[^\W_]")
 
 
+_FOLDED_WORD = re.compile(r"[^\W\d_]+")
+_STEMS = sorted({w for n in NOTES for w in n.split() if len(w) > 2}, key=len)
+
+
+def is_note(folded: str) -> bool:
+    """Whether words in parentheses name a sound: each is a word of notes, or one that stands beside them; short ones only with a plain ending."""
+    words = _FOLDED_WORD.findall(folded)
+    named = False
+    for w in words:
+        if any(w.startswith(n) and (len(n) > 5 or w[len(n) :] in ("", "s", "e", "es", "x", "er", "ter", "ing", "ment", "ments")) for n in _STEMS):
+            named = True
+        elif w not in BESIDE:
+            return False
+    return named
+
+
 def fold(text: str) -> str:
     """Lower case without accents; every character stays one character, so positions hold."""
     if text.isascii():
@@ -93,7 +117,7 @@ class Cleaner:
         if re.fullmatch(r"<v(?:\.[\w.]+)?\s+", before) and rest.startswith(">"):
             return end + 1
         if before == "":
-            m = re.match(r"\.?\s*(?:\([^()]{1,40}\)|,\s*[^:–—]{1,40})?\s*(?:\*\*)?\s*(?::|\.?\s*[–—]|\s-\s)(?:\s*\*\*)?", rest)
+            m = re.match(r"\.?\s*(?:\([^()]+\)|,\s*[^:–—.!?]{1,120})?\s*(?:\*\*)?\s*(?::|\.?\s*[–—]|\s-\s)(?:\s*\*\*)?", rest)
             if m:
                 return end + m.end()
         return None
@@ -109,7 +133,7 @@ class Cleaner:
             s, e = last - n + 1, last + 1
             for kind, who in kinds:
                 if kind == "label":
-                    if s - begin <= 12 and (best is None or s < best[0] or (s == best[0] and e > best[1])):
+                    if s >= begin and (best is None or s < best[0] or (s == best[0] and e > best[1])):
                         to = self._label_end(line, s, e, begin)
                         if to is not None:
                             best = (s, e, to, who)
@@ -124,8 +148,8 @@ class Cleaner:
             cuts.append(m.span())
         for m in BRACKETS.finditer(line):
             s, e = m.span()
-            if line[s] == "(" and not any(s <= k < e for k in notes):
-                continue  # words in parentheses are spoken unless they name a sound
+            if line[s] == "(" and not (any(s <= k < e for k in notes) and is_note(folded[s + 1 : e - 1])):
+                continue  # words in parentheses are spoken unless they name nothing but a sound
             cuts.append((s, e))
         for s, e in marks:
             while e < len(line) and line[e] in ".,…":

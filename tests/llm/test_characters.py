@@ -110,3 +110,25 @@ def test_garbled_table(spark, model):
     assert out[1] == ("réglé", True) and out[3] == (None, False) and out[4] == ("", False)
     assert E.garbled(df.limit(0), model).count() == 0
     E.train(df.limit(0))
+
+
+def test_mixed_words_of_other_scripts(spark):
+    russian = "москва и правительство россии в республики города россия москва правительство республика мы все"
+    df = spark.createDataFrame([(CLEAN,), (russian,), (russian.title(),), (russian,)], "text string")
+    lattice = L.Lattice(L.pair_counts(df))
+    # Latin letters among Cyrillic ones become Cyrillic, Cyrillic ones among Latin become Latin
+    for mixed, want in (("Mосква", "Москва"), ("правительcтво", "правительство"), ("Pоссии", "России"), ("pеспублики", "республики"), ("prоjet", "projet"), ("соllègе", "collège")):
+        assert lattice.judged(mixed) == (want, True), mixed
+    assert lattice.judged("Москва и projet") == ("Москва и projet", False)
+    # a mixed word is found whatever comes out of it
+    rows = spark.createDataFrame([(1, "Mосква", "", 0), (2, "qж", "", 0), (3, "Москва", "", 0)], DOCS)
+    got = {r["id"] for r in L.consistent(rows.drop("id"), "doc_id", "text", lattice.counts, True).collect()}
+    assert got == {1}
+
+
+def test_foreign_names_are_not_garbled():
+    m = E.Model(re.findall(E.TOKEN, CLEAN))
+    d = E.Detector(m)
+    for name in ("Ångström", "Belmirão", "Sørensen", "Kovač", "Lindström", "Núñez", "Gonçalo", "Bjørn"):
+        assert d.judge(name) is None, name
+    assert d.judge("Ã©tÃ©") == "été"

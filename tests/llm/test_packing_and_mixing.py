@@ -44,7 +44,7 @@ def test_packs(spark):
         assert sum(r["n_tokens"] for r in mine) == sum(r[1] for r in rows)
         windows = {}
         for r in mine:
-            windows.setdefault((r["block"], r["window_no"], r["doc_id"] if r["block"] < 0 else None), []).append(r)
+            windows.setdefault(r["window_id"], []).append(r)
         for w in windows.values():
             total = sum(r["n_tokens"] for r in w)
             assert total <= cap and {r["window_tokens"] for r in w} == {total} and {r["fill"] for r in w} == {total / cap}

@@ -99,3 +99,13 @@ def test_tables(spark):
     assert X.turn_starts(X.turn_pieces(turns.limit(0))).count() == 0
     assert X.turn_starts(X.cue_pieces(cues.limit(0), voices)).count() == 0
     assert X.clean_turns(X.turn_pieces(turns)).where("video_id = 1").orderBy("turn").first()["text"] == "un deux"
+
+
+def test_notes_are_whole_parentheses():
+    c = X.Cleaner([("v1", "Ada Brun", "Mme")])
+    assert c.clean("Oui (c'est un cri du cœur) je crois")[1] == "Oui (c'est un cri du cœur) je crois"
+    assert c.clean("Le fond sonore (discussion critique) est fort")[1] == "Le fond sonore (discussion critique) est fort"
+    for note in ("rires", "Applaudissements sur plusieurs bancs.", "toux", "musique de fond", "vifs applaudissements à gauche", "cris", "rires dans la salle", "laughter"):
+        assert c.clean(f"Oui ({note}) je crois")[1] == "Oui je crois", note
+    role = "rapporteure de la commission des affaires économiques et du plan numérique"
+    assert c.clean(f"Mme Brun, {role} : bonjour") == ("v1", "bonjour") and c.clean(f"Ada Brun ({role}) : bonjour") == ("v1", "bonjour")
