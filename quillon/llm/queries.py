@@ -13,6 +13,8 @@ from quillon.skew import without
 
 #: TESTDATA.md fixes this shape for the versions of problem 7.
 P7 = near_duplicates.Shape(k=3, threshold=0.5, min_words=100)
+#: A bucket should hold some 100 MB of the ledger; the stored tables are small.
+P4_BUCKETS = 8
 KEY = ["person", "axis", "quote_fr"]
 
 
@@ -87,7 +89,7 @@ def _p4_batches(spark: SparkSession, d: str) -> dict[str, tuple[DataFrame, list[
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     out = None
     for origin, (keys, batches) in _p4_batches(spark, d).items():
-        part = ledger.copies(keys, ledger.build(spark, batches)).select(F.lit(origin).alias("origin"), "first_no", "copy_no")
+        part = ledger.copies(keys, ledger.build(spark, batches, P4_BUCKETS)).select(F.lit(origin).alias("origin"), "first_no", "copy_no")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -95,7 +97,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_ledger(spark: SparkSession, d: str) -> DataFrame:
     out = None
     for origin, (_, batches) in _p4_batches(spark, d).items():
-        part = ledger.build(spark, batches).select(F.lit(origin).alias("origin"), "first_no", "copies")
+        part = ledger.build(spark, batches, P4_BUCKETS).select(F.lit(origin).alias("origin"), "first_no", "copies")
         out = part if out is None else out.unionByName(part)
     return out
 

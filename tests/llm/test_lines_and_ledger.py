@@ -147,3 +147,25 @@ def test_spans_of_texts_without_line_feeds(spark):
         # only the ends of the notice, less than a few chunks, may stay
         assert len(kept) < len(text) - len(notice) + 400 and out[i]["h1"] == i
     assert R.cut_spans(df.limit(0), 5).count() == 0
+
+
+def test_stored_ledger_takes_a_batch_once_and_leaves_other_buckets(spark, tmp_path):
+    keys = lambda *rows: ledger.keyed(spark.createDataFrame(list(rows), CLAIMS), "no", ["person", "axis", "quote_fr"])
+    led = ledger.Ledger(spark, str(tmp_path / "l"), buckets=16)
+    first = [(i, f"p{i}", "x", "mot", "") for i in range(40)]
+    assert led.apply("a", keys(*first)) and not led.apply("a", keys(*first))
+    before = {r["key"]: (r["first_no"], r["copies"]) for r in led.rows().collect()}
+    assert len(before) == 40 and set(before.values()) == {(i, 1) for i in range(40)}
+    places = {r["bucket"]: r["place"] for r in led._manifest().collect()}
+    # what a batch that failed left behind is written over
+    (tmp_path / "l" / "data" / "b").mkdir()
+    (tmp_path / "l" / "data" / "b" / "rest").write_text("x")
+    assert led.apply("b", keys((100, "P3", "x", "MOT", ""), (101, "p3", "x", "mot!", "")))
+    got = {(r["first_no"], r["copies"]) for r in led.rows().collect()}
+    assert got == {(i, 3 if i == 3 else 1) for i in range(40)}
+    now = [r for r in led._manifest().collect() if r["batch"] == "b"]
+    assert len(now) == 1 and places[now[0]["bucket"]] != now[0]["place"]
+    # an empty batch counts as taken in; another ledger on the same folder sees the same rows
+    assert led.apply("c", keys((None, "p", "x", "y", ""))) and led.applied("c")
+    again = ledger.Ledger(spark, str(tmp_path / "l"), buckets=16)
+    assert not again.apply("b", keys((7, "q", "x", "z", ""))) and again.rows().count() == 40
