@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -105,6 +106,11 @@ def capture_format(content: Column) -> Column:
     return F.when(F.substring(content, 1, 5) == F.lit(b"%PDF-"), "pdf").otherwise("html")
 
 
+def quoted(literal: str) -> str:
+    """A Java pattern of the literal."""
+    return r"\Q" + literal.replace(r"\E", r"\E\\E\Q") + r"\E" if re.search(r"\W", literal) else literal
+
+
 def any_of(terms: list[str], whole_words: bool = False) -> str:
     """A Java pattern of any of the literal terms, without regard to case; `whole_words` bounds both ends."""
     quoted = "|".join(r"\Q" + t.replace(r"\E", r"\E\\E\Q") + r"\E" for t in terms)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
+from quillon.skew import bundles
 
 PROSE = ["position_fr", "position_en", "contexte_fr", "contexte_en"]
 
@@ -19,13 +20,13 @@ def _finding(rows: DataFrame, gate: str, message: F.Column, fatal: F.Column | bo
 def quote_hits(claims: DataFrame, docs: DataFrame) -> DataFrame:
     """(claim_no, hit): whether any version of the cited address holds the quote; null where there is none.
 
-    The join is on the address; each side is normalized once, and only versions that are cited.
+    The quotes of an address go to its texts in bundles, so a text is moved and normalized once a bundle, not once a claim.
     """
-    quotes = claims.select("claim_no", "source_url", T.layout_free(F.col("quote_fr")).alias("quote"))
-    cited = claims.select(F.col("source_url").alias("url")).distinct()
-    bodies = docs.join(cited, "url", "left_semi").select("url", "text").distinct().select("url", T.layout_free(F.col("text")).alias("body"))
-    both = quotes.join(bodies, quotes["source_url"] == bodies["url"], "left")
-    return both.groupBy("claim_no").agg(F.max(F.contains("body", "quote")).alias("hit"))
+    quotes = claims.select("claim_no", F.col("source_url").alias("url"), T.layout_free(F.col("quote_fr")).alias("quote"))
+    met = docs.select("url", "text").join(bundles(quotes, ["url"], ["claim_no", "quote"]), "url").select(T.layout_free(F.col("text")).alias("body"), "items")
+    each = met.select("body", F.explode("items").alias("x")).select("x.claim_no", F.contains("body", "x.quote").alias("hit"))
+    hits = each.groupBy("claim_no").agg(F.max("hit").alias("hit"))
+    return claims.select("claim_no").distinct().join(hits, "claim_no", "left")
 
 
 def provenance_and_quote(claims: DataFrame, docs: DataFrame) -> DataFrame:

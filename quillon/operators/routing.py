@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
+import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
+from quillon.session import cut
+from quillon.skew import bundles
 
 PRESS = "press: reporting, not the person's own words"
 
@@ -22,25 +23,63 @@ def to_leads(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("tier") == "3").select("person", "source_id", T.blank_to(F.col("title"), "(untitled)").alias("title"), "url", F.col("doc_date").alias("lead_date"), F.lit(PRESS).alias("reason"))
 
 
-def name_patterns(people: DataFrame, max_people: int = 5000) -> list[tuple[str, list[str], str]]:
-    """(slug, names in lower case, pattern) of each person with names to match; people are at most `max_people` rows (checked)."""
-    rows = people.where(F.size("match_names") > 0).select("slug", "match_names").orderBy("slug").limit(max_people + 1).collect()
-    if len(rows) > max_people:
-        raise ValueError(f"more than {max_people} people")
-    out = []
-    for r in rows:
-        names = sorted({n.lower() for n in r["match_names"] if n})
-        if names:
-            out.append((r["slug"], names, T.any_of(names, whole_words=True)))
+#: Names that go into one pattern.
+NAMES_AT_ONCE = 2000
+
+
+def _trie(names: list[str]) -> str:
+    """A pattern of any of the names, common beginnings written once; the longest name is tried first."""
+    if len(names) == 1:
+        return T.quoted(names[0])
+    after: dict[str, list[str]] = {}
+    for n in names:
+        if n:
+            after.setdefault(n[0], []).append(n[1:])
+    branches = [T.quoted(c) + _trie(rest) for c, rest in sorted(after.items())]
+    if not branches:
+        return ""
+    return f"(?:{'|'.join(branches)}){'?' if '' in names else ''}"
+
+
+def name_patterns(people: DataFrame) -> list[tuple[str, str]]:
+    """(pattern, JSON of name: slugs) for each NAMES_AT_ONCE names of the people, in lower case; as many patterns as it takes."""
+    slugs: dict[str, set[str]] = {}
+    for r in people.where(F.size("match_names") > 0).select("slug", "match_names").toLocalIterator():
+        for n in r["match_names"]:
+            if n:
+                slugs.setdefault(n.lower(), set()).add(r["slug"])
+    names, out = sorted(slugs), []
+    for at in range(0, len(names), NAMES_AT_ONCE):
+        some = names[at : at + NAMES_AT_ONCE]
+        # where a name is found, shorter names that end at a word's end within it are found as well
+        whole = _with_shorter(some, slugs)
+        out.append((rf"(?u)(?=\b({_trie(some)})\b)", json.dumps(whole, ensure_ascii=False)))
     return out
 
 
-def named(text: Column, patterns: list[tuple[str, list[str], str]]) -> Column:
-    """The people whose names stand in the text as words. One scan a person in generated code, no join of all with
-    all; the pattern runs only where the plain search finds one of the names."""
+def _with_shorter(names: list[str], slugs: dict[str, set[str]]) -> dict[str, list[str]]:
+    """For each name the people of it and of the names it begins with (sorted names: those stand before it on a stack)."""
+    out, stack = {}, []
+    for n in names:
+        while stack and not n.startswith(stack[-1]):
+            stack.pop()
+        stack.append(n)
+        ends = [m for m in stack if m == n or not (n[len(m)].isalnum() or n[len(m)] == "_")]
+        out[n] = sorted({s for m in ends for s in slugs[m]})
+    return out
+
+
+def named(text: Column, patterns: list[tuple[str, str]]) -> Column:
+    """The people whose names stand in the text as words (distinct). One scan of the text for all names of a pattern: at each
+    place the longest name is taken, the shorter ones that it begins with are known beforehand."""
     low = F.lower(text)
-    hits = [F.when(reduce(or_, [F.contains(low, F.lit(n)) for n in names]) & low.rlike(p), slug) for slug, names, p in patterns]
-    return F.filter(F.array(*hits), lambda x: x.isNotNull()) if hits else F.array().cast("array<string>")
+
+    def people(pattern: str, names: str) -> Column:
+        of = F.from_json(F.lit(names), "map<string,array<string>>")
+        return F.transform(F.array_distinct(F.regexp_extract_all(low, F.lit(pattern), F.lit(1))), lambda n: F.element_at(of, n))
+
+    found = [people(p, names) for p, names in patterns]
+    return F.array_distinct(F.flatten(F.concat(*found))) if found else F.array().cast("array<string>")
 
 
 def attributed(rows: DataFrame, text: Column, people: DataFrame) -> DataFrame:
@@ -52,19 +91,22 @@ def attach_archives(claims: DataFrame, docs: DataFrame, capture: str = T.CAPTURE
     """(claim_no, archive_url, attached, requested): for claims without a usable capture, the first one that holds the quote.
 
     Candidates are the document's versions, the oldest first, then captures of other claims of the same
-    address. Where no version was ever captured, a new capture is requested. Texts are normalized once a
-    version, quotes once a claim, before the join on the address.
+    address. Where no version was ever captured, a new capture is requested. The quotes of an address go to its
+    texts in bundles; a sibling's capture holds the page as its newest version, so that is searched once,
+    and of the siblings only the first is kept.
     """
     good = T.is_capture(F.col("archive_url"), capture)
-    need = claims.where(~good).select("claim_no", "source_url", T.layout_free(F.col("quote_fr")).alias("quote"))
-    wanted = need.select(F.col("source_url").alias("url")).distinct()
-    versions = docs.join(wanted, "url", "left_semi").where(good).select("url", "archive_url", F.struct(F.lit(0).alias("k"), "fetched_at", F.col("doc_id").alias("no")).alias("rank"), T.layout_free(F.col("text")).alias("body"))
-    same = claims.where(good).select(F.col("source_url").alias("url"), "archive_url", F.struct(F.lit(1).alias("k"), F.lit(None).cast("timestamp").alias("fetched_at"), F.col("claim_no").alias("no")).alias("rank"))
-    # a sibling's capture holds the page as a version of that address
-    texts = docs.join(wanted, "url", "left_semi").groupBy("url").agg(F.max_by("text", F.struct("fetched_at", "doc_id")).alias("text"))
-    siblings = same.join(texts, "url").select("url", "archive_url", "rank", T.layout_free(F.col("text")).alias("body"))
-    found = need.join(versions.unionByName(siblings), need["source_url"] == F.col("url")).where(F.contains("body", "quote") & (F.col("quote") != ""))
-    first = found.groupBy("claim_no").agg(F.min_by("archive_url", "rank").alias("archive_url"))
-    ever = docs.where(good).select(F.col("url").alias("source_url")).distinct().withColumn("captured", F.lit(True))
-    out = need.join(first, "claim_no", "left").join(ever, "source_url", "left")
-    return out.select("claim_no", "archive_url", F.col("archive_url").isNotNull().alias("attached"), (F.col("archive_url").isNull() & F.col("captured").isNull()).alias("requested"))
+    need = claims.where(~good).select("claim_no", F.col("source_url").alias("url"), T.layout_free(F.col("quote_fr")).alias("quote"))
+    cited = cut(bundles(need.where("quote <> ''"), ["url"], ["claim_no", "quote"]))
+    dated = F.struct("fetched_at", F.col("doc_id").alias("no"))
+    newest = docs.join(cited.select("url").distinct(), "url", "left_semi").groupBy("url").agg(F.max(F.struct("fetched_at", "doc_id")).alias("last"))
+    rows = docs.join(newest, "url").select("url", "text", dated.alias("rank"), F.when(good, F.col("archive_url")).alias("archive_url"), (F.struct("fetched_at", "doc_id") == F.col("last")).alias("newest"))
+    # versions that were never captured count only as the newest
+    met = rows.where(F.col("archive_url").isNotNull() | F.col("newest")).join(cited, "url").select(T.layout_free(F.col("text")).alias("body"), "rank", "archive_url", "newest", "items")
+    hits = met.select("*", F.explode("items").alias("x")).where(F.contains("body", "x.quote"))
+    per = hits.groupBy(F.col("x.claim_no").alias("claim_no")).agg(F.min(F.when(F.col("archive_url").isNotNull(), F.struct("rank", "archive_url"))).alias("own"), F.max("newest").alias("in_newest"))
+    sibling = claims.where(good).groupBy(F.col("source_url").alias("url")).agg(F.min_by("archive_url", "claim_no").alias("sibling"))
+    ever = docs.where(good).select("url").distinct().withColumn("captured", F.lit(True))
+    out = need.join(per, "claim_no", "left").join(sibling, "url", "left").join(ever, "url", "left")
+    first = F.coalesce(F.col("own.archive_url"), F.when(F.col("in_newest"), F.col("sibling")))
+    return out.select("claim_no", first.alias("archive_url"), first.isNotNull().alias("attached"), (first.isNull() & F.col("captured").isNull()).alias("requested"))

@@ -58,6 +58,17 @@ def join_cells(left: DataFrame, right: DataFrame, keys: list[str], cell: int = C
     return spread(left, "_l", "_r", "_i", "_j").join(spread(right, "_r", "_l", "_j", "_i"), [*keys, "_i", "_j"]).drop("_i", "_j")
 
 
+def bundles(rows: DataFrame, keys: list[str], cols: list[str], size: int = CELL) -> DataFrame:
+    """(keys ..., items): the rows of each key as lists of about `size` structs of `cols`, so that what they are joined with is repeated once a list.
+
+    Keys with more rows are cut by a hash of the row; those keys are stored, and broadcast up to BROADCAST_ROWS of them.
+    """
+    many = cut(rows.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(size)).cast("int").alias("_n")).where("_n > 1"))
+    marked = rows.join(F.broadcast(many) if many.count() <= BROADCAST_ROWS else many, keys, "left")
+    block = F.pmod(F.xxhash64(*rows.columns), F.coalesce("_n", F.lit(1))).cast("int")
+    return marked.groupBy(*keys, block.alias("_block")).agg(F.collect_list(F.struct(*cols)).alias("items")).drop("_block")
+
+
 #: Keys are broadcast up to this number (8 MB of numbers), beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
