@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
@@ -67,6 +67,11 @@ def feed(claims: DataFrame, n: int | None = None) -> DataFrame:
     return rows.limit(n) if n else rows
 
 
+def same_quote(a: Column, b: Column) -> Column:
+    """Whether one normal form holds the other; an empty one is like none."""
+    return (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a))
+
+
 def scorecard(gold: DataFrame, predicted: DataFrame, docs: DataFrame) -> DataFrame:
     """One row of how predictions reproduce labelled quotes.
 
@@ -86,8 +91,7 @@ def scorecard(gold: DataFrame, predicted: DataFrame, docs: DataFrame) -> DataFra
     body = d.join(per_doc.select("url_hash"), "url_hash", "left_semi").select("url_hash", T.layout_free(F.col("text")).alias("body"))
     verbatim = p.where(F.col("p").isNotNull()).join(body, "url_hash").agg(F.count("*").alias("quotes"), F.count_if(F.contains("body", "exact")).alias("verbatim"))
     one = g.where(F.col("q").isNotNull()).withColumn("gid", F.struct("url_hash", "axis", "q"))
-    same = (F.col("p") != "") & (F.col("q") != "") & (F.contains("p", "q") | F.contains("q", "p"))
-    match = one.join(p, "url_hash").where(same).groupBy("gid").agg(F.min_by("p_axis", "pos").alias("p_axis"))
+    match = one.join(p, "url_hash").where(same_quote(F.col("p"), F.col("q"))).groupBy("gid").agg(F.min_by("p_axis", "pos").alias("p_axis"))
     found = match.agg(F.count("*").alias("found"), F.count_if(F.col("gid.axis") == F.col("p_axis")).alias("agreed"))
     none = F.col("n_gold") == 0
     sums = per_doc.agg(

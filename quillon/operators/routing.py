@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
+from quillon.operators.store import earliest
 from quillon.session import cut
 from quillon.skew import bundles
 
@@ -110,3 +112,23 @@ def attach_archives(claims: DataFrame, docs: DataFrame, capture: str = T.CAPTURE
     out = need.join(per, "claim_no", "left").join(sibling, "url", "left").join(ever, "url", "left")
     first = F.coalesce(F.col("own.archive_url"), F.when(F.col("in_newest"), F.col("sibling")))
     return out.select("claim_no", first.alias("archive_url"), first.isNotNull().alias("attached"), (first.isNull() & F.col("captured").isNull()).alias("requested"))
+
+
+def promotion(leads: DataFrame, named_: Column, captions: DataFrame, own: DataFrame, about: Callable[[Column], Column], done: DataFrame | None = None) -> DataFrame:
+    """(lead_no, reason): the first reason that keeps a lead from promotion, or `promoted`; each (url, person) once, and none of `done` (url, person).
+
+    captions: (video_id, text) where there are captions; own: (video_id, text), the dominant voice's own words, where there is one.
+    Leads have lead_no, url, person, video_id; `about` says whether a text is on the subject.
+    """
+    once = earliest(leads, ["url", "person"], ["lead_no"])
+    if done is not None:
+        once = once.join(done.select("url", "person").distinct(), ["url", "person"], "left_anti")
+    shown = captions.groupBy("video_id").agg(F.max(about(F.col("text"))).alias("_shown"))
+    said = own.groupBy("video_id").agg(F.max(about(F.col("text"))).alias("_said"))
+    j = once.withColumn("_named", F.coalesce(named_, F.array().cast("array<string>"))).join(shown, "video_id", "left").join(said, "video_id", "left")
+    single = (F.size("_named") == 1) & F.array_contains("_named", F.col("person"))
+    reason = (
+        F.when(~F.coalesce(single, F.lit(False)), "title names another or several").when(~F.col("_shown"), "captions off subject")
+        .when(F.col("_said").isNull(), "no dominant voice").when(~F.col("_said"), "own words off subject").otherwise("promoted")
+    )
+    return j.select("lead_no", reason.alias("reason"))

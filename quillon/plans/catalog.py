@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from quillon.functions import text as T
 from quillon.functions.chunks import chunks
 from quillon.operators import extraction, gates, positions, routing, site, store, transcripts
-from quillon.session import load, ship
+from quillon.session import cut, load, ship
+from quillon.skew import join_cells
 
 #: The captures of the stored tables.
 CAPTURE = r"^https://archive\.example/web/\d{14}/"
@@ -215,10 +216,22 @@ def o41_attribution(spark: SparkSession, d: str) -> DataFrame:
     return routing.attributed(load(spark, d, "documents").select("doc_id", "text"), F.col("text"), load(spark, d, "people")).select("doc_id", "named_person")
 
 
-@_query("WITH " + _NAMED_SQL.format(no="lead_no, url", table="leads", text="title"))
+#: No title of the stored leads names a person: subjects stand in for people, with names that begin or hold others.
+STAND_INS = {
+    "sante": ["données de santé", "hôpitaux", "sécurité des hôpitaux"], "drones": ["drones", "drones de surveillance"], "ouverts": ["modèles ouverts"], "ruralite": ["collectivités rurales", "bibliothèques"],
+    "emploi": ["emploi", "jeunes diplômés", "traducteurs"], "calcul": ["calcul intensif", "centres de données", "serveurs", "modèles"], "ecole": ["élèves", "orientation des élèves", "apprentissage"],
+}
+_STAND_INS_SQL = "people AS (SELECT * FROM (VALUES " + ", ".join("('{}', [{}])".format(k, ", ".join(f"'{n}'" for n in v)) for k, v in STAND_INS.items()) + ") t(slug, match_names))"
+
+
+def _stand_ins(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(STAND_INS.items()), "slug string, match_names array<string>")
+
+
+@_query("WITH " + _STAND_INS_SQL + "," + _NAMED_SQL.format(no="lead_no, url", table="leads", text="title"))
 def o42_fan_out(spark: SparkSession, d: str) -> DataFrame:
-    """Leads copied for each person their title names; the others are dropped."""
-    return routing.attributed(load(spark, d, "leads").select("lead_no", "url", "title"), F.col("title"), load(spark, d, "people")).select("lead_no", "url", "named_person")
+    """Leads copied for each of STAND_INS that their title names; the others are dropped."""
+    return routing.attributed(load(spark, d, "leads").select("lead_no", "url", "title"), F.col("title"), _stand_ins(spark)).select("lead_no", "url", "named_person")
 
 
 @_query("""
@@ -289,9 +302,15 @@ def o51_lint_union(spark: SparkSession, d: str) -> DataFrame:
     return gates.all_gates(load(spark, d, "claims"), load(spark, d, "documents"), CAPTURE)
 
 
-@_query(_NEUTRALITY)
+#: The stored prose holds no judgement words; these beginnings of words it holds.
+STAND_IN_WORDS = ["propos", "observ", "convent", "oblig", "étend", "clause", "figure", "scope", "stated", "with"]
+_STAND_IN_SQL = " UNION ALL ".join(f"SELECT claim_no, '{f}' AS field, unnest(regexp_extract_all({f}, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])({'|'.join(STAND_IN_WORDS)})', 1)) AS word FROM claims" for f in gates.PROSE)
+
+
+@_query(f"SELECT 'neutrality' AS gate, claim_no, field || ': ' || lower(word) AS message, true AS fatal FROM ({_STAND_IN_SQL})")
 def o52_neutrality(spark: SparkSession, d: str) -> DataFrame:
-    return gates.neutrality(load(spark, d, "claims"))
+    """The gate with STAND_IN_WORDS; o51 has it with the judgement words."""
+    return gates.neutrality(load(spark, d, "claims"), STAND_IN_WORDS)
 
 
 @_query(_ARCHIVE)
@@ -341,15 +360,19 @@ def o63_flatten(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents").where(F.col("cues").isNotNull()).select("doc_id", transcripts.flat(F.col("cues")).alias("flat"))
 
 
-@_query(r"""
-WITH v AS (SELECT url, cues FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY fetched_at DESC, doc_id DESC) AS rn FROM documents WHERE cues IS NOT NULL) WHERE rn = 1),
-q AS (SELECT claim_no, cues, strpos(array_to_string(list_transform(cues, lambda c: c.line), ' '), regexp_replace(quote_fr, '^\s+|\s+$', '', 'g')) - 1 AS pos FROM claims JOIN v ON url = source_url),
-e AS (SELECT claim_no, pos, i, cues[i].t AS t, sum(length(cues[i].line) + 1) OVER (PARTITION BY claim_no ORDER BY i) AS ends FROM (SELECT claim_no, pos, cues, unnest(range(1, len(cues) + 1)) AS i FROM q))
-SELECT claim_no, CAST(first(t ORDER BY i) FILTER (pos >= 0 AND ends > pos) AS INTEGER) AS second FROM e GROUP BY ALL""")
+@_query("""
+WITH v AS (SELECT doc_id, cues, CAST(len(cues) // 2 AS INTEGER) AS k FROM documents WHERE len(cues) >= 2),
+q AS (SELECT doc_id, cues, CASE WHEN doc_id % 7 = 0 THEN 'nulle part ' ELSE '' END || substr(cues[k].line, CAST(length(cues[k].line) // 2 AS INTEGER) + 1) || ' ' || cues[k + 1].line AS quote FROM v),
+p AS (SELECT doc_id, cues, strpos(array_to_string(list_transform(cues, lambda c: c.line), ' '), trim(quote)) - 1 AS pos FROM q),
+e AS (SELECT doc_id, pos, i, cues[i].t AS t, sum(length(cues[i].line) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS ends FROM (SELECT doc_id, pos, cues, unnest(range(1, len(cues) + 1)) AS i FROM p))
+SELECT doc_id, CAST(first(t ORDER BY i) FILTER (pos >= 0 AND ends > pos) AS INTEGER) AS second FROM e GROUP BY ALL""")
 def o64_locate(spark: SparkSession, d: str) -> DataFrame:
-    videos = store.latest(load(spark, d, "documents").where(F.size("cues") > 0).select("url", "cues", "fetched_at", "doc_id"), ["url"], ["fetched_at", "doc_id"])
-    claims = load(spark, d, "claims").select("claim_no", F.col("source_url").alias("url"), "quote_fr")
-    return claims.join(videos, "url").select("claim_no", transcripts.locate(F.col("cues"), F.col("quote_fr")).alias("second"))
+    """No stored quote stands in cues: a quote is made of each video's two middle cues, and spoilt for every seventh number."""
+    v = load(spark, d, "documents").where(F.size("cues") >= 2).select("doc_id", "cues", F.floor(F.size("cues") / 2).cast("int").alias("k"))
+    line = F.element_at("cues", F.col("k"))["line"]
+    half = F.substring(line, F.floor(F.length(line) / 2).cast("int") + 1, F.length(line))
+    quote = F.concat(F.when(F.col("doc_id") % 7 == 0, "nulle part ").otherwise(""), half, F.lit(" "), F.element_at("cues", F.col("k") + 1)["line"])
+    return v.select("doc_id", transcripts.locate(F.col("cues"), quote).alias("second"))
 
 
 @_query("SELECT doc_id, CAST(round(length(text) / 3.5) AS INTEGER) AS tokens FROM documents")
@@ -388,14 +411,18 @@ def o66_chunks(spark: SparkSession, d: str) -> DataFrame:
     return c.select("doc_id", "chunk_no", F.sha2("chunk", 256).alias("text_sha256"), F.length("chunk").alias("n_chars"))
 
 
-@_query()
+_ASCII = r"trim(regexp_replace(lower(regexp_replace(quote_fr, '[^\x{0}-\x{7f}]+', '', 'g')), '[\s\x{1c}-\x{1f}]+', ' ', 'g'))"
+
+
+@_query(f"""
+WITH q AS (SELECT claim_no, source_url, {_ASCII} AS q FROM claims)
+SELECT a.claim_no AS claim_no, b.claim_no AS other_no FROM q a JOIN q b ON a.source_url = b.source_url AND a.claim_no < b.claim_no AND a.q <> '' AND b.q <> '' AND (contains(a.q, b.q) OR contains(b.q, a.q))""")
 def o68_same_quote(spark: SparkSession, d: str) -> DataFrame:
-    """(claim_no, record_no): claims and answers on one document whose quotes a reader takes as the same."""
-    url = store.earliest(load(spark, d, "documents").select("url_hash", "url", "doc_id"), ["url_hash"], ["doc_id"]).select("url_hash", "url")
-    v = load(spark, d, "claim_payloads").select("record_no", F.substring_index("custom_id", ":", 1).alias("url_hash"), F.try_variant_get(F.try_parse_json("payload"), "$.quote_fr", "string").alias("said"))
-    said = v.where(F.col("said").isNotNull()).join(url, "url_hash").select("record_no", F.col("url").alias("source_url"), T.reader_form(F.col("said")).alias("p"))
-    own = load(spark, d, "claims").select("claim_no", "source_url", T.reader_form(F.col("quote_fr")).alias("q"))
-    return own.join(said, "source_url").where((F.col("p") != "") & (F.col("q") != "") & (F.contains("p", "q") | F.contains("q", "p"))).select("claim_no", "record_no")
+    """(claim_no, other_no): claims on one address whose quotes a reader takes as the same, by their ASCII letters, for which SQL has the same forms."""
+    q = load(spark, d, "claims").select("claim_no", F.col("source_url").alias("url"), T.reader_form(F.regexp_replace("quote_fr", r"[^\x00-\x7f]+", "")).alias("q"))
+    kept = cut(q)
+    both = join_cells(kept, kept.select(F.col("claim_no").alias("other_no"), "url", F.col("q").alias("p")), ["url"])
+    return both.where((F.col("claim_no") < F.col("other_no")) & positions.same_quote(F.col("q"), F.col("p"))).select("claim_no", "other_no")
 
 
 @_query("""SELECT claim_no, CASE WHEN claim_type = 'video' AND timestamp_s IS NOT NULL THEN source_url || CASE WHEN contains(source_url, '?') THEN '&t=' ELSE '?t=' END || timestamp_s ELSE source_url END AS cited FROM claims""")
@@ -434,11 +461,11 @@ def o74_unsent(spark: SparkSession, d: str) -> DataFrame:
     return extraction.unsent(docs.drop("fetched_at"), sent).select("custom_id", "text_sha256", "doc_id")
 
 
-@_query("SELECT DISTINCT batch_id FROM claim_payloads WHERE batch_id NOT IN (SELECT batch_id FROM claim_payloads WHERE json_valid(payload))")
+@_query("SELECT DISTINCT batch_id FROM claim_payloads WHERE batch_id NOT IN (SELECT batch_id FROM claim_payloads WHERE received_at < TIMESTAMPTZ '2025-09-01 00:00:00+00')")
 def o75_pending(spark: SparkSession, d: str) -> DataFrame:
-    """Batches without any answer that can be read."""
-    p = load(spark, d, "claim_payloads").select("batch_id", F.try_parse_json("payload").isNotNull().alias("ok"))
-    return extraction.pending_batches(p, p.where("ok"))
+    """Batches that were still waiting for their first answer on the first of September 2025."""
+    p = load(spark, d, "claim_payloads").select("batch_id", "received_at")
+    return extraction.pending_batches(p, p.where(F.col("received_at") < F.lit("2025-09-01 00:00:00").cast("timestamp")))
 
 
 @_query("""
@@ -469,26 +496,46 @@ def o76_validated(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(rf"""
 WITH {_PARSED},
-v AS (SELECT url_hash, url, cues IS NOT NULL AS has_cues FROM (SELECT *, row_number() OVER (PARTITION BY url_hash ORDER BY fetched_at DESC, doc_id DESC) AS rn FROM documents) WHERE rn = 1),
-c AS (SELECT *, regexp_replace(regexp_replace(quote_fr, '^{_WS}', ''), '{_WS}$', '') AS q FROM ok JOIN v ON url_hash = split_part(custom_id, ':', 1) WHERE valid)
-SELECT record_no, substr(sha256(url || chr(10) || q), 1, 16) AS claim_id, axis, CASE WHEN has_cues THEN 'video' ELSE claim_type END AS claim_type, url AS source_url FROM c""")
+v AS (SELECT url_hash, url, cues, person AS doc_person, tier AS doc_tier, tier_confirmed, archive_url FROM (SELECT *, row_number() OVER (PARTITION BY url_hash ORDER BY fetched_at DESC, doc_id DESC) AS rn FROM documents) WHERE rn = 1),
+c AS (SELECT *, regexp_replace(regexp_replace(quote_fr, '^{_WS}', ''), '{_WS}$', '') AS q FROM ok JOIN v ON url_hash = split_part(custom_id, ':', 1) WHERE valid),
+l AS (SELECT record_no, i, cues[i].t AS t, strpos(array_to_string(list_transform(cues, lambda c: c.line), ' '), q) - 1 AS pos, sum(length(cues[i].line) + 1) OVER (PARTITION BY record_no ORDER BY i) AS ends
+      FROM (SELECT record_no, cues, q, unnest(range(1, len(cues) + 1)) AS i FROM c WHERE cues IS NOT NULL)),
+located AS (SELECT record_no, CAST(first(t ORDER BY i) FILTER (pos >= 0 AND ends > pos) AS INTEGER) AS second FROM l GROUP BY ALL)
+SELECT record_no, substr(sha256(url || chr(10) || q), 1, 16) AS claim_id, doc_person AS person, axis, CASE WHEN cues IS NOT NULL THEN 'video' ELSE claim_type END AS claim_type,
+       TRY_CAST(regexp_replace(nullif(regexp_extract(date, '^\d{{4}}-?\d{{2}}-?\d{{2}}'), ''), '^(\d{{4}})-?(\d{{2}})-?(\d{{2}})$', '\1-\2-\3') AS DATE) AS claim_date, q AS quote_fr, gloss AS quote_gloss_en, position_fr,
+       doc_tier AS tier, tier_confirmed, url AS source_url, archive_url, second AS timestamp_s, DATE '2026-01-15' AS last_verified, 'pending' AS status
+FROM c LEFT JOIN located USING (record_no)""")
 def o77_collected(spark: SparkSession, d: str) -> DataFrame:
-    c = extraction.collected(extraction.parsed(load(spark, d, "claim_payloads")), load(spark, d, "documents"))
-    return c.select("record_no", "claim_id", "axis", "claim_type", "source_url")
+    return extraction.collected(extraction.parsed(load(spark, d, "claim_payloads")), load(spark, d, "documents"), "2026-01-15")
+
+
+_FATE = f"""
+fate AS (SELECT record_no, custom_id, payload,
+  CASE record_no % 23 WHEN 3 THEN 'server_error' END AS error, CASE record_no % 19 WHEN 4 THEN 429 WHEN 9 THEN 500 ELSE 200 END AS status, CASE record_no % 17 WHEN 5 THEN 'no' ELSE '' END AS refusal,
+  CASE WHEN record_no % 13 = 6 THEN 'length' ELSE 'stop' END AS finish, CASE WHEN record_no % 11 = 7 THEN '  ' ELSE payload END AS content FROM claim_payloads),
+told AS (SELECT record_no, custom_id AS answers, CASE WHEN error IS NOT NULL THEN 'error: ' || error WHEN status <> 200 THEN 'status ' || status WHEN refusal <> '' THEN 'refused: ' || refusal WHEN finish = 'length' THEN 'truncated'
+  WHEN regexp_matches(coalesce(content, ''), '^({_WS})?$') THEN 'empty' WHEN NOT json_valid(content) THEN 'unparseable' END AS reason FROM fate)"""
 
 
-_REASON = rf"CASE WHEN payload IS NULL OR regexp_matches(payload, '^({_WS})?$') THEN 'empty' WHEN json_valid(payload) THEN NULL WHEN NOT regexp_matches(payload, '\}}({_WS})?$') THEN 'truncated' ELSE 'unparseable' END"
+def _results(spark: SparkSession, d: str) -> DataFrame:
+    """The stored payloads as lines of a result file, some of them given an error, a status, a refusal or an end by their number."""
+    p, no = load(spark, d, "claim_payloads"), F.col("record_no")
+    choice = F.struct(
+        F.struct(F.when(no % 11 == 7, "  ").otherwise(F.col("payload")).alias("content"), F.when(no % 17 == 5, "no").otherwise("").alias("refusal")).alias("message"), F.when(no % 13 == 6, "length").otherwise("stop").alias("finish_reason")
+    )
+    status = F.when(no % 19 == 4, 429).when(no % 19 == 9, 500).otherwise(200)
+    line = F.struct("custom_id", F.when(no % 23 == 3, "server_error").alias("error"), F.struct(status.alias("status_code"), F.struct(F.array(choice).alias("choices")).alias("body")).alias("response"))
+    return extraction.results(p.select("record_no", F.to_json(line).alias("line")))
 
 
-@_query(f"SELECT record_no, {_REASON} AS reason FROM claim_payloads")
+@_query(f"WITH {_FATE} SELECT record_no, answers, reason FROM told")
 def o79_unusable(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "claim_payloads").select("record_no", extraction.unusable_reason(F.col("payload")).alias("reason"))
+    return _results(spark, d).select("record_no", "answers", "reason")
 
 
-@_query(f"SELECT reason, count(*) AS n FROM (SELECT {_REASON} AS reason FROM claim_payloads) WHERE reason IS NOT NULL GROUP BY reason")
+@_query(f"WITH {_FATE} SELECT reason, count(*) AS n FROM told WHERE reason IS NOT NULL GROUP BY reason")
 def o82_tally(spark: SparkSession, d: str) -> DataFrame:
-    r = load(spark, d, "claim_payloads").select(extraction.unusable_reason(F.col("payload")).alias("reason"))
-    return r.where(F.col("reason").isNotNull()).groupBy("reason").agg(F.count("*").alias("n"))
+    return _results(spark, d).where(F.col("reason").isNotNull()).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 # -- positions ---------------------------------------------------------------------------------------
@@ -576,21 +623,29 @@ def o96_voice_text(spark: SparkSession, d: str) -> DataFrame:
     return transcripts.voice_texts(v, transcripts.dominant_voices(v))
 
 
-@_query("""
-WITH n AS (SELECT slug, lower(unnest(match_names)) AS name FROM people),
-m AS (SELECT lead_no, list(DISTINCT slug) AS named FROM leads JOIN n ON CASE WHEN contains(lower(title), name) THEN regexp_matches(lower(title), '(^|[^\\p{L}\\p{N}_])' || name || '($|[^\\p{L}\\p{N}_])') ELSE false END GROUP BY ALL),
-d AS (SELECT url, bool_or(""" + _SUBJECT_SQL + """) AS about FROM documents GROUP BY ALL)
-SELECT CASE WHEN named IS NULL OR len(named) <> 1 OR named[1] <> person THEN 'title names another or several' WHEN about IS NULL THEN 'no text' WHEN NOT about THEN 'off subject' ELSE 'promoted' END AS reason, count(*) AS n
-FROM leads LEFT JOIN m USING (lead_no) LEFT JOIN d USING (url) GROUP BY ALL""")
+_VOICE = "v AS (SELECT DISTINCT video_id, turn_no, start_s, end_s, text, coalesce(nullif(ltrim(regexp_extract(speaker, '(\\d+)[^\\d]*$', 1), '0'), ''), '0') AS voice FROM turns WHERE regexp_matches(coalesce(speaker, ''), '\\d'))"
+
+
+@_query(f"""
+WITH {_STAND_INS_SQL}, n AS (SELECT slug, lower(unnest(match_names)) AS name FROM people),
+m AS (SELECT lead_no, list(DISTINCT slug) AS named FROM leads JOIN n ON CASE WHEN contains(lower(title), name) THEN regexp_matches(lower(title), '(^|[^\\p{{L}}\\p{{N}}_])' || name || '($|[^\\p{{L}}\\p{{N}}_])') ELSE false END GROUP BY ALL),
+once AS (SELECT min(lead_no) AS lead_no, url, person FROM (SELECT lead_no, url, CASE WHEN lead_no % 5 = 0 THEN 'drones' ELSE coalesce(list_min(named), '') END AS person FROM leads LEFT JOIN m USING (lead_no)) GROUP BY url, person),
+{_VOICE}, w AS (SELECT video_id, voice, sum(end_s - start_s) AS s FROM v GROUP BY ALL), t AS (SELECT video_id, arg_max(voice, (s, voice)) AS voice FROM w GROUP BY ALL HAVING max(s) / sum(s) > 0.3),
+own AS (SELECT video_id, {_SUBJECT_SQL} AS said FROM (SELECT video_id, string_agg(text, ' ' ORDER BY start_s, turn_no) AS text FROM v SEMI JOIN t USING (video_id, voice) GROUP BY ALL)),
+shown AS (SELECT video_id, {_SUBJECT_SQL} AS shown FROM (SELECT video_id, string_agg(line, ' ' ORDER BY t, seq, line) AS text FROM cues GROUP BY ALL))
+SELECT o.lead_no AS lead_no, CASE WHEN named IS NULL OR len(named) <> 1 OR named[1] <> person THEN 'title names another or several' WHEN NOT shown THEN 'captions off subject'
+  WHEN said IS NULL THEN 'no dominant voice' WHEN NOT said THEN 'own words off subject' ELSE 'promoted' END AS reason
+FROM once o LEFT JOIN m ON m.lead_no = o.lead_no LEFT JOIN shown ON shown.video_id = o.lead_no LEFT JOIN own ON own.video_id = o.lead_no""")
 def o97_promotion(spark: SparkSession, d: str) -> DataFrame:
-    """Leads by the first reason that keeps them from promotion."""
-    leads = load(spark, d, "leads").select("lead_no", "person", "url", "title")
-    who = routing.named(F.col("title"), routing.name_patterns(load(spark, d, "people")))
-    about = load(spark, d, "documents").join(leads.select("url").distinct(), "url", "left_semi").groupBy("url").agg(F.bool_or(T.on_subject(F.col("text"), STRONG, WEAK)).alias("about"))
-    j = leads.withColumn("named", F.coalesce(who, F.array().cast("array<string>"))).join(about, "url", "left")
-    single = (F.size("named") == 1) & F.array_contains("named", F.col("person"))
-    reason = F.when(~single, "title names another or several").when(F.col("about").isNull(), "no text").when(~F.col("about"), "off subject").otherwise("promoted")
-    return j.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+    """Leads by the first reason that keeps them from promotion. Stand-ins: STAND_INS for people, the video of a lead's number for its own."""
+    who = routing.named(F.col("title"), routing.name_patterns(_stand_ins(spark)))
+    person = F.when(F.col("lead_no") % 5 == 0, "drones").otherwise(F.coalesce(F.array_min(who), F.lit("")))
+    leads = load(spark, d, "leads").select("lead_no", "url", "title", person.alias("person"), F.col("lead_no").alias("video_id"))
+    voices = _voices(spark, d)
+    own = transcripts.voice_texts(voices, transcripts.dominant_voices(voices, 0.3))
+    said = F.array_sort(F.collect_list(F.struct("t", "seq", "line")))
+    shown = load(spark, d, "cues").groupBy("video_id").agg(said.alias("x")).select("video_id", F.array_join(F.transform("x", lambda c: c["line"]), " ").alias("text"))
+    return routing.promotion(leads, who, shown, own, lambda c: T.on_subject(c, STRONG, WEAK))
 
 
 _GRID = f"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.operators import extraction, gates, positions, routing, site, store, transcripts
-from quillon.skew import join_counted, without
+from quillon.skew import bundles, join_cells, join_counted, without
 
 DAY = dt.date(2026, 1, 1)
 
@@ -92,8 +92,54 @@ def test_answers(spark):
     assert rows(a, "record_no", "valid")[0] == (0, True) and not any(v for _, v in rows(a, "record_no", "valid") if _ != 0)
     why = dict(rows(p.select("record_no", extraction.unusable_reason(F.col("payload")))))
     assert why[0] is None and why[3] == "truncated" and why[6] == why[7] == "empty" and why[10] == "unparseable"
-    d = spark.createDataFrame([("h", "u", GOOD, False, [(1, "x")], None, 1)], "url_hash string, url string, archive_url string, tier_confirmed boolean, cues array<struct<t:int,line:string>>, fetched_at timestamp, doc_id long")
+    kinds = "url_hash string, url string, archive_url string, tier_confirmed boolean, cues array<struct<t:int,line:string>>, fetched_at timestamp, doc_id long, person string, tier string"
+    d = spark.createDataFrame([("h", "u", GOOD, False, [(1, "x")], None, 1, "bea", "2")], kinds)
     assert rows(extraction.collected(a, d), "claim_type", "claim_date", "quote_fr") == [("video", dt.date(2026, 1, 2), "mot pour mot")]
+    # person and tier are the document's, the second is that of the cue in which the quote begins
+    d = spark.createDataFrame([("h", "u", GOOD, False, [(1, "x"), (7, "un mot pour"), (9, "mot de fin")], None, 1, "bea", "2")], kinds)
+    assert rows(extraction.collected(a, d, "2026-02-03"), "person", "tier", "timestamp_s", "last_verified") == [("bea", "2", 7, dt.date(2026, 2, 3))]
+    d = spark.createDataFrame([("h", "u", None, True, None, None, 1, None, None)], kinds)
+    assert rows(extraction.collected(a, d), "claim_type", "timestamp_s", "person", "last_verified") == [("vote", None, None, None)]
+
+
+def test_result_lines_in_their_order(spark):
+    def line(content, refusal="", finish="stop", status=200, error="null"):
+        return f'{{"custom_id":"c","error":{error},"response":{{"status_code":{status},"body":{{"choices":[{{"message":{{"content":{content},"refusal":"{refusal}"}},"finish_reason":"{finish}"}}]}}}}}}'
+
+    lines = [line('"{}"'), line('"{"', "no", "length", 500, '"boom"'), line('"{"', "no", "length", 500), line('"{"', "no", "length"), line('""', "", "length"), line('" "'), line('"{"'), line("null"), "", " ", "{broken", '{"custom_id":"x"}']
+    got = dict((r["no"], r["reason"]) for r in extraction.results(spark.createDataFrame(list(enumerate(lines)), "no int, line string")).collect())
+    assert got == {0: None, 1: "error: boom", 2: "status 500", 3: "refused: no", 4: "truncated", 5: "empty", 6: "unparseable", 7: "empty", 10: "status unknown", 11: "status unknown"}
+    assert extraction.results(spark.createDataFrame([], "no int, line string")).count() == 0
+
+
+def test_names_that_begin_others(spark):
+    people = spark.createDataFrame([("a", ["Jean Dupont", "Dupont"]), ("b", ["Dupont-Aigle"]), ("c", ["Dupont d'Arc", "Île+"]), ("d", ["Jean"]), ("e", None), ("f", [])], "slug string, match_names array<string>")
+    texts = ["Jean Dupont parle", "dupont-aigle parle", "M. Dupont d'Arc", "Dupontel et Jeannot", "île+ et l'Île", None, "", "jean DUPONT-AIGLE"]
+    df = spark.createDataFrame(list(enumerate(texts)), "no int, text string")
+    want = [(0, "a"), (0, "d"), (1, "a"), (1, "b"), (2, "a"), (2, "c"), (7, "a"), (7, "b"), (7, "d")]
+    assert rows(routing.attributed(df, F.col("text"), people).select("no", "named_person")) == want
+    assert routing.attributed(df, F.col("text"), people.limit(0)).count() == 0
+
+
+def test_promotion_by_first_reason(spark):
+    leads = spark.createDataFrame([(i, f"u{i}", "ana", t, i) for i, t in enumerate(["Ana et Bob", "Ana seule", "Ana ici", "Ana là", "Ana encore", "Ana dit", None])] + [(50, "u1", "ana", "Ana seule", 1), (51, "u9", "ana", "Ana", 1)], "lead_no int, url string, person string, title string, video_id int")
+    captions = spark.createDataFrame([(2, "rien"), (3, "le sujet"), (4, "sujet")], "video_id int, text string")
+    own = spark.createDataFrame([(1, "mon sujet"), (2, "sujet"), (4, "autre chose"), (5, None)], "video_id int, text string")
+    done = spark.createDataFrame([("u9", "ana")], "url string, person string")
+    names = spark.createDataFrame([("ana", ["Ana"]), ("bob", ["Bob"])], "slug string, match_names array<string>")
+    got = dict(rows(routing.promotion(leads, routing.named(F.col("title"), routing.name_patterns(names)), captions, own, lambda c: F.coalesce(F.contains(c, F.lit("sujet")), F.lit(False)), done)))
+    assert got == {0: "title names another or several", 1: "promoted", 2: "captions off subject", 3: "no dominant voice", 4: "own words off subject", 5: "own words off subject", 6: "title names another or several"}
+
+
+def test_joins_in_cells_and_bundles(spark):
+    left = spark.createDataFrame([("hot" if i < 40 else f"k{i % 5}" if i % 7 else None, i) for i in range(90)], "k string, a int")
+    right = spark.createDataFrame([("hot" if i < 25 else f"k{i % 5}", 1000 + i) for i in range(60)] + [(None, 1)], "k string, b int")
+    want = sorted((r["k"], r["a"], s["b"]) for r in left.collect() for s in right.collect() if r["k"] is not None and r["k"] == s["k"])
+    for cell in (3, 10, 1000):
+        assert sorted(tuple(r) for r in join_cells(left, right, ["k"], cell).select("k", "a", "b").collect()) == want
+    got = bundles(left, ["k"], ["a"], 10).collect()
+    assert sorted((x["a"], r["k"]) for r in got for x in r["items"] if r["k"]) == sorted((r["a"], r["k"]) for r in left.collect() if r["k"])
+    assert sum(r["k"] == "hot" for r in got) > 1 and bundles(left.limit(0), ["k"], ["a"]).count() == 0
 
 
 VTT = """WEBVTT
