@@ -1,8 +1,8 @@
 """Notices of broken pages told from sentences of articles: a model of words, trained on sentences labelled by hand.
 
 The labelled sentences are written for this purpose and taken from no table; common subjects and states are combined
-into more of them. A bounded sample of the corpus's own sentences is added as ordinary text, without those that
-the model of the labelled sentences alone takes for notices. Logistic regression over stems, pairs of stems and
+into more of them. What is common in the corpus is added as ordinary text, counted over all its documents: sentences
+that the labelled ones alone don't surely tell from notices, and single words (see `train`). Logistic regression over stems, pairs of stems and
 the form of the sentence (names, numbers, status codes, quoted words and length put in their place).
 """
 
@@ -314,6 +314,7 @@ _QUOTED = re.compile(r"«[^»]*»|“[^”]*”|\"[^\"]*\"")
 _PATH = re.compile(r"\S*[/\\]\S+|\S*\d\S*-\S+|\S+-\S*\d\S*|\S+\.(?:example|php|html?|fr|com|org)\b\S*")
 _CODE = re.compile(r"(?<![\d\s])\s*\b[45]\d\d\b(?!\s*\d)|^\s*[45]\d\d\b(?!\s*\d)")
 _NUMBER = re.compile(r"\d[\d\s.,:]*\d|\d")
+_DIGIT, _DOT = re.compile(r"\d"), re.compile(r"\.[ephfco]")
 _NAME = re.compile(r"(?<=[\w,;:»)’'] )[A-ZÀ-ÖØ-Þ][\w'’-]*(?:\s(?:(?:de|du|des|la|le)\s)*[A-ZÀ-ÖØ-Þ][\w'’-]*)*")
 #: A name of several words at the beginning; a single word there may be any.
 _FIRST = re.compile(r"^\W*(?:[LD]['’])?[A-ZÀ-ÖØ-Þ][\w'’-]*(?:\s(?:(?:de|du|des|la|le)\s(?:l['’])?|d['’])?[A-ZÀ-ÖØ-Þ][\w'’-]*)+")
@@ -322,8 +323,8 @@ _KEPT = re.compile(r"(?i)\b(?:javascript|ip|http|url|sql|php|captcha|cookies?|sc
 _TOKEN = re.compile(r"[^\W\d_]+|0")
 WORD = re.compile(r"[^\W\d_]{4,}")
 STATUS = re.compile(r"\b[45]\d\d\b")
-#: Letters of a word that are compared.
-STEM = 7
+#: Letters of a word that are compared; words of a short notice.
+STEM, SHORT = 7, 3
 
 
 def _plain(text: str) -> str:
@@ -337,13 +338,19 @@ def features(sentence: str) -> set[str]:
     if sentence.isupper() and len(sentence) > 30:
         sentence = sentence.capitalize()  # names cannot be told in capitals
     t = _KEPT.sub(lambda m: m.group().lower(), sentence.replace("’", "'"))
-    t = _QUOTED.sub(" Qq ", t)
-    t = _PATH.sub(" zpath ", t)
-    t = _CODE.sub(" zcode ", t)
+    # most sentences have nothing of the kind, which is found out at less cost than by the patterns
+    numbers = _DIGIT.search(t) is not None
+    if "«" in t or '"' in t or "“" in t:
+        t = _QUOTED.sub(" Qq ", t)
+    if "/" in t or "\\" in t or (numbers and "-" in t) or _DOT.search(t):
+        t = _PATH.sub(" zpath ", t)
+    if numbers:
+        t = _CODE.sub(" zcode ", t)
     t, n_first = _FIRST.subn("zname", t)
     t, n_names = _NAME.subn("zname", t)
     n_names += n_first
-    t = _NUMBER.sub(" 0 ", t)
+    if numbers:
+        t = _NUMBER.sub(" 0 ", t)
     words = [w[:STEM] for w in _TOKEN.findall(_plain(t))]
     n = len(words)
     out = {*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))}
@@ -363,11 +370,11 @@ def labelled() -> list[tuple[str, bool]]:
     return out
 
 
-def _fit(rows: list[tuple[str, bool]], rounds: int = 150, ridge: float = 2e-5) -> dict[str, float]:
+def _fit(rows: list[tuple[set[str], bool]], rounds: int = 150, ridge: float = 2e-5) -> dict[str, float]:
     names: dict[str, int] = {}
     ids, at, y = [], [], []
-    for s, notice in rows:
-        got = [names.setdefault(f, len(names)) for f in sorted(features(s))]
+    for said, notice in rows:
+        got = [names.setdefault(f, len(names)) for f in sorted(said)]
         ids += got
         at += [len(y)] * len(got)
         y.append(notice)
@@ -388,15 +395,31 @@ def _fit(rows: list[tuple[str, bool]], rounds: int = 150, ridge: float = 2e-5) -
 @lru_cache(1)
 def base() -> dict[str, float]:
     """The model of the labelled sentences alone."""
-    return _fit(labelled())
+    return _fit([(features(s), notice) for s, notice in labelled()])
+
+
+@lru_cache(1)
+def stems() -> frozenset[str]:
+    """The stems of the labelled sentences, of which the documents are counted; without those of notices of SHORT words or
+    less, which are labelled as telling a notice nearly by themselves, however common they are."""
+    short = (_TOKEN.findall(_plain(s)) for s, notice in labelled() if notice)
+    return frozenset(f for s, _ in labelled() for f in features(s) if f[0] not in "^<" and " " not in f) - {w[:STEM] for words in short if len(words) <= SHORT for w in words}
+
+
+class Stem(dict):
+    """The stem of a word, found out once a word."""
+
+    def __missing__(self, word: str) -> str:
+        self[word] = out = _plain(word)[:STEM]
+        return out
 
 
 class _Clue(dict):
     """Whether a word speaks for a notice, found out once a word."""
 
-    def __init__(self, w: dict[str, float]):
+    def __init__(self, w: dict[str, float], clue: float):
         super().__init__()
-        self.stems = {f for f, x in w.items() if x >= CLUE and len(f) > 3 and f.isalpha()}
+        self.stems = {f for f, x in w.items() if x >= clue and len(f) > 3 and f.isalpha()}
 
     def __missing__(self, word: str) -> bool:
         self[word] = out = _plain(word)[:STEM] in self.stems
@@ -404,11 +427,11 @@ class _Clue(dict):
 
 
 class Judge:
-    """Sentences in, log-odds of being a notice out."""
+    """Sentences in, log-odds of being a notice out; clue: the least weight of a word that speaks for one."""
 
-    def __init__(self, w: dict[str, float]):
+    def __init__(self, w: dict[str, float], clue: float | None = None):
         self.w = w
-        self.clue = _Clue(w)
+        self.clue = _Clue(w, CLUE if clue is None else clue)
 
         self.known: dict[str, float] = {}
 
@@ -445,23 +468,14 @@ class Judge:
         return self.w[""] + max(sum(map(self.w.__getitem__, self.w.keys() & features(x))) for x in forms)
 
 
-def train(texts: list[list[str]]) -> dict[str, float]:
-    """The model with the sentences of a sample of documents as ordinary text: those that the labelled sentences alone surely take
-    for no notice, and those that stand in COMMON of the documents or more, as no notice does. Only sentences
-    with a word that speaks for a notice have a say."""
-    judge = Judge(base())
-    in_docs: dict[str, int] = {}
-    own: dict[str, str] = {}
-    for sentences in texts:
-        said = {form(s): s for s in sentences if len(s) <= LONGEST and judge.speaks(s)}
-        for key, s in said.items():
-            in_docs[key] = in_docs.get(key, 0) + 1
-            own.setdefault(key, s)
-    least = max(5.0, COMMON * len(texts))
-    return _fit(labelled() + [(s, False) for key, s in own.items() if in_docs[key] >= least or judge.score(s) < SURELY_NOT])
+def train(sentences: list[str], words: list[str]) -> dict[str, float]:
+    """The model with ordinary text beside the labelled sentences: the sentences and the stems that stand in COMMON of the documents or
+    more, as no notice does and as no word does that tells a notice by itself."""
+    rows = [(features(s), notice) for s, notice in labelled()] + [(features(s), False) for s in sentences] + [({x}, False) for x in words]
+    return _fit(rows)
 
 
-#: Share of the sample's documents that no notice stands in; log-odds below which a sentence is surely none; weight of a word that speaks for one.
+#: Share of the documents that no notice stands in; log-odds by the labelled sentences alone below which a sentence is surely none; weight of a word that speaks for one.
 COMMON, SURELY_NOT, CLUE = 0.005, -1.5, 0.3
 #: Longest notice, in characters.
 LONGEST = 300

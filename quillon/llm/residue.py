@@ -9,8 +9,9 @@ A place whose value never differs is part of the wording, as in an article that
 unless its syntax is that of a template language or its value asks to be filled in; how often a record
 is repeated does not matter. Besides, sentences
 and titles that are error, blocking, expiry, removal, maintenance or script notices as a whole are told from
-sentences of articles by a model of words (see `notices`), fitted on labelled sentences and on a bounded
-sample of the documents (SAMPLE, the first by hash of doc_id). Pages of other wordings and languages are found by their repetition: the templates of whole short texts with a word of
+sentences of articles by a model of words (see `notices`), fitted on labelled sentences and on counts over all
+documents: the texts are read once, the sentences that the labelled ones alone don't surely tell from notices are stored with
+their form, words are counted beside, and the stored sentences are judged once the model is fitted. Pages of other wordings and languages are found by their repetition: the templates of whole short texts with a word of
 notices (in several languages) or a status number are counted over all documents, and those that stand
 in REPEATED documents or more are residues.
 
@@ -21,6 +22,7 @@ gives an empty result. The whole text is searched; only doc_id, text and title a
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
@@ -30,7 +32,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import notices
-from quillon.llm.sampling import first_by_hash
 from quillon.session import cut
 from quillon.skew import join_counted
 
@@ -226,26 +227,47 @@ def _latin(sentence: str) -> bool:
 
 #: Whole texts up to PAGE_CHARS characters are pages that may be error templates, in REPEATED documents they are.
 PAGE_CHARS, REPEATED = 600, 20
-#: Documents of which the model of notices is fitted, and log-odds from which a sentence is a notice.
-SAMPLE, NOTICE_AT = 1000, 2.2
-#: What a candidate is by itself: 3 and 2 a residue (3: even without a place), 1 only if its place is a slot, 0 a whole text, if it is repeated.
-SURE, LIKELY, OPEN, PAGE = 3, 2, 1, 0
+#: Log-odds from which a sentence is a notice.
+NOTICE_AT = 2.2
+#: What a candidate is by itself: 3 and 2 a residue (3: even without a place), 1 only if its place is a slot, 0 a whole text, if it is repeated;
+#: -1 a sentence or title, if the model takes it for a notice, -2 no candidate, but the number of texts that hold a stem.
+SURE, LIKELY, OPEN, PAGE, DOUBT, WORDS = 3, 2, 1, 0, -1, -2
 
 
-def candidates_of(text: str | None, title: str | None, auto: ahocorasick.Automaton, judge: notices.Judge | None = None) -> list[tuple[str, str, int, int | None, int | None, str | None, str | None]]:
-    """(template, value, weight, head, place, bare) of each possible residue; the last four, of `place_of`, only where its weight is OPEN."""
-    judge = judge or notices.Judge(notices.base())
-    out = []
-    if title and (judge.score(title) >= NOTICE_AT or STRONG.search(title) or any(DEFAULTS.match(m.group()) for m in WEAK.finditer(title))):
+Candidate = tuple[str, str, int, int | None, int | None, str | None, str | None]
+
+
+def doubtful_of(text: str | None, title: str | None, judge: notices.Judge, low: str, words: set[str]) -> Iterator[tuple[str, float]]:
+    """(title or sentence, its log-odds) of those that are not surely no notice; low: the text in lower case, words: its words."""
+    said = {title} if title else set()
+    if text:
+        said.update(sentences_at(text, judge.places(text, low, words)) if len(low) == len(text) else all_sentences(text))
+    for s in said:
+        score = judge.score(s)
+        if score >= notices.SURELY_NOT:
+            yield s, score
+
+
+def candidates_of(text: str | None, title: str | None, auto: ahocorasick.Automaton) -> list[Candidate]:
+    """All possible residues of one document by itself, notices by the labelled sentences alone."""
+    low = (text or "").lower()
+    words = set(_LETTERS.findall(low))
+    out = marks_of(text, title, auto, words)
+    if any(score >= NOTICE_AT for _, score in doubtful_of(text, title, notices.Judge(notices.base()), low, words)):
+        out.append(("notice", "", SURE, None, None, None, None))
+    return out
+
+
+def marks_of(text: str | None, title: str | None, auto: ahocorasick.Automaton, words: set[str]) -> list[Candidate]:
+    """(template, value, weight, head, place, bare) of each possible residue but notices; the last four, of `place_of`, only where its weight is OPEN."""
+    out: list[Candidate] = []
+    if title and (STRONG.search(title) or any(DEFAULTS.match(m.group()) for m in WEAK.finditer(title))):
         out.append(("title", "", SURE, None, None, None, None))
     if not text:
         return out
     if len(text) <= PAGE_CHARS and _FEATURES.search(text):
         out.append((template(text), "", PAGE, None, None, None, None))
-    low = text.lower()
-    words = set(notices.WORD.findall(low))
-    near = sentences_at(text, judge.places(text, low, words)) if len(low) == len(text) else all_sentences(text)
-    if any(judge.score(s) >= NOTICE_AT for s in near) or (not _LATIN.isdisjoint(words) and any(map(_latin, all_sentences(text)))):
+    if not _LATIN.isdisjoint(words) and any(map(_latin, all_sentences(text))):
         out.append(("notice", "", SURE, None, None, None, None))
     for s in all_sentences(text) if "NaN" in text else _sentences(text, auto):
         quoted = [m.span() for m in _QUOTED.finditer(s)]
@@ -272,35 +294,75 @@ def candidates_of(text: str | None, title: str | None, auto: ahocorasick.Automat
     return out
 
 
-def model(docs: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
-    """The model of notices, with the sentences and titles of at most `sample` documents as ordinary text."""
-    rows = first_by_hash(docs.select("doc_id", "text", "title"), "doc_id", sample)
-    return notices.train([[*all_sentences(r["text"] or ""), *([r["title"]] if r["title"] else [])] for r in rows])
-
+def candidates(docs: DataFrame) -> DataFrame:
+    """(doc_id, template, value, weight, head, place, bare, anchor), of one pass over the texts.
 
-def candidates(docs: DataFrame, w: dict[str, float]) -> DataFrame:
-    """(doc_id, template, value, weight, head, place, bare, anchor)."""
-    shared = docs.sparkSession.sparkContext.broadcast(w)
+    A row of weight DOUBT has the sentence as its template, a hash of its form as head and 1 as place, 0 if the text has said the form
+    before; one of weight WORDS a stem of the labelled sentences and the number of texts of a task that hold it ("": of all its texts).
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(notices.base())
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        auto, judge = _automaton(), notices.Judge(shared.value)
-        for pdf in pdfs:
-            rows = [(d, *c) for d, x, t in zip(pdf["doc_id"], pdf["text"], pdf["title"]) for c in candidates_of(x, t, auto, judge)]
+        # a word that speaks little for a notice by the labelled sentences may speak more once the model is fitted
+        auto, judge, stem, told = _automaton(), notices.Judge(shared.value, clue=0.0), notices.Stem(), notices.stems()
+        in_texts: Counter[str] = Counter()
+
+        def table(rows: list[tuple]) -> pd.DataFrame:
             # as objects, for hashes beside nulls must not pass through floats
             out = pd.DataFrame(rows, columns=["doc_id", "template", "value", "weight", "head", "place", "bare", "anchor"], dtype=object)
-            yield out.astype({"doc_id": "int64", "weight": "int32", "head": "Int64", "place": "Int64"})
+            return out.astype({"doc_id": "Int64", "weight": "int32", "head": "Int64", "place": "Int64"})
+
+        for pdf in pdfs:
+            rows: list[tuple] = []
+            for d, x, t in zip(pdf["doc_id"], pdf["text"], pdf["title"]):
+                low = (x or "").lower()
+                words = set(_LETTERS.findall(low))
+                in_texts.update(told.intersection(map(stem.__getitem__, words)))
+                in_texts[""] += 1
+                rows += [(d, *c) for c in marks_of(x, t, auto, words)]
+                said: set[int] = set()
+                for s, _ in doubtful_of(x, t, judge, low, words):
+                    form = _hash(notices.form(s))
+                    rows.append((d, s, "", DOUBT, form, int(form not in said), None, None))
+                    said.add(form)
+            yield table(rows)
+        yield table([(None, x, "", WORDS, n, None, None, None) for x, n in in_texts.items()])
 
     return docs.select("doc_id", "text", "title").where(F.col("doc_id").isNotNull()).mapInPandas(run, "doc_id long, template string, value string, weight int, head long, place long, bare string, anchor string")
 
 
+def model(c: DataFrame) -> dict[str, float]:
+    """The model of notices, from the stored candidates of all texts; a text that is stored twice counts twice.
+
+    What stands in COMMON of the documents comes to the driver: few stems, and of doubtful forms at most 1 / COMMON times those of a document.
+    """
+    stems = {r["template"]: r["n"] for r in c.where(F.col("weight") == WORDS).groupBy("template").agg(F.sum("head").alias("n")).collect()}
+    least = max(5.0, notices.COMMON * stems.get("", 0))
+    forms = c.where(F.col("weight") == DOUBT).groupBy("head").agg(F.sum("place").alias("n"), F.min("template").alias("sentence"))
+    sentences = forms.where(F.col("n") >= least).select("sentence").collect()
+    return notices.train(sorted(r["sentence"] for r in sentences), sorted(x for x, n in stems.items() if x and n >= least))
+
+
+def noticed(c: DataFrame, w: dict[str, float]) -> DataFrame:
+    """(doc_id) of the stored doubtful sentences that the model takes for notices."""
+    shared = c.sparkSession.sparkContext.broadcast(w)
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        judge = notices.Judge(shared.value)
+        for pdf in pdfs:
+            yield pdf.loc[[judge.score(s) >= NOTICE_AT for s in pdf["template"]], ["doc_id"]]
+
+    return c.where(F.col("weight") == DOUBT).select("doc_id", "template").mapInPandas(run, "doc_id long")
+
+
 def residues(docs: DataFrame) -> DataFrame:
     """(doc_id): documents with a residue.
 
     A place is a slot if its template takes two values or more, or if a sentence fills it with words
     other than the value's own.
     """
-    c = cut(candidates(docs, model(docs)))
-    sure = c.where(F.col("weight") > OPEN).select("doc_id")
+    c = cut(candidates(docs))
+    sure = c.where(F.col("weight") > OPEN).select("doc_id").unionByName(noticed(c, model(c)))
     open_ = c.where(F.col("weight") == OPEN)
     # of a template only the least and the greatest value count: small and combined before the shuffle
     values = cut(c.where(F.length("value") > 0).groupBy("template").agg(F.count("*").alias("records"), F.min("value").alias("least"), F.max("value").alias("most")))

@@ -198,3 +198,18 @@ def test_bodies_in_one_pass(spark):
     assert set(got) == {*range(40), 100, 101} and got[100] == (0, None) and got[101] == (0, "")
     for i, t in enumerate(texts):
         assert got[i][1] == "\n".join(x for x in t.split("\n") if x not in AROUND) and got[i][0] == sum(x in AROUND for x in t.split("\n"))
+
+
+def test_notices_are_fitted_on_all_documents(spark):
+    # a line that looks like a notice is common in 12 of 2,000 documents, whichever they are, and isn't in 9
+    docs = [doc(i, "Un mot de la commune.") for i in range(2000)]
+    for many in (12, 9):
+        held = [doc(i, f"Cet article a été retiré par l'éditeur le {i} mai.") if i < many else d for i, d in enumerate(docs)]
+        assert found(spark, *held) == ([] if many == 12 else list(range(many))), many
+
+
+def test_words_are_counted_over_all_texts(spark):
+    df = spark.createDataFrame([doc(i, "Le rapport cite la commune." if i % 100 else "Le rapport cite la passerelle.") for i in range(1000)] + [doc(None, "La passerelle.")], DOCS)
+    c = R.candidates(df)
+    assert {r["template"]: r["n"] for r in c.where(c["weight"] == R.WORDS).groupBy("template").agg({"head": "sum"}).withColumnRenamed("sum(head)", "n").collect()}.items() >= {("", 1000), ("passere", 10)}
+    assert R.model(c)["passere"] < R.model(c.where("template <> 'passere'"))["passere"]
