@@ -142,3 +142,16 @@ def test_a_hub_and_a_hot_class_are_joined_in_cells(spark, monkeypatch):
         degree.setdefault(b, set()).add(a)
     got = {r["doc_id"]: r["group_id"] for r in N.groups(v).collect()}
     assert all(got[d] == 0 for d in degree) and len(got) == len(rows)
+
+
+def test_remembered_word_hashes_change_no_set(monkeypatch):
+    import numpy as np
+
+    from quillon.llm import near_duplicates as N
+
+    texts = ["un deux trois quatre", None, "quatre trois deux un", "", "Un deux, trois quatre"]
+    first = N.shingle_sets(texts, N.Shape(k=2))
+    monkeypatch.setattr(N, "KNOWN_WORDS", 0)
+    again = N.shingle_sets(texts, N.Shape(k=2))
+    assert [x is None for x in first] == [False, True, False, True, False] == [x is None for x in again]
+    assert all(np.array_equal(a, b) for a, b in zip(first, again) if a is not None) and np.array_equal(first[0], first[4]) and set(N._HASHES) == {"un", "deux", "trois", "quatre"}
