@@ -314,15 +314,18 @@ _QUOTED = re.compile(r"«[^»]*»|“[^”]*”|\"[^\"]*\"")
 _PATH = re.compile(r"\S*[/\\]\S+|\S*\d\S*-\S+|\S+-\S*\d\S*|\S+\.(?:example|php|html?|fr|com|org)\b\S*")
 _CODE = re.compile(r"(?<![\d\s])\s*\b[45]\d\d\b(?!\s*\d)|^\s*[45]\d\d\b(?!\s*\d)")
 _NUMBER = re.compile(r"\d[\d\s.,:]*\d|\d")
-_DIGIT, _DOT = re.compile(r"\d"), re.compile(r"\.[ephfco]")
-_NAME = re.compile(r"(?<=[\w,;:»)’'] )[A-ZÀ-ÖØ-Þ][\w'’-]*(?:\s(?:(?:de|du|des|la|le)\s)*[A-ZÀ-ÖØ-Þ][\w'’-]*)*")
+_DIGIT, _DOT, _DASHED, _HUNDREDS = re.compile(r"\d"), re.compile(r"\.[ephfco]"), re.compile(r"\d\S*-|-\S*\d"), re.compile(r"[45]\d\d")
+# what stands before is looked at after the first letter: capitals are found fast
+_NAME = re.compile(r"[A-ZÀ-ÖØ-Þ](?<=[\w,;:»)’'] [A-ZÀ-ÖØ-Þ])[\w'’-]*(?:\s(?:(?:de|du|des|la|le)\s)*[A-ZÀ-ÖØ-Þ][\w'’-]*)*")
 #: A name of several words at the beginning; a single word there may be any.
 _FIRST = re.compile(r"^\W*(?:[LD]['’])?[A-ZÀ-ÖØ-Þ][\w'’-]*(?:\s(?:(?:de|du|des|la|le)\s(?:l['’])?|d['’])?[A-ZÀ-ÖØ-Þ][\w'’-]*)+")
 #: Names of techniques that are words of notices, not names.
 _KEPT = re.compile(r"(?i)\b(?:javascript|ip|http|url|sql|php|captcha|cookies?|scripts?)\b")
+#: Parts of which every name of _KEPT, in lower case, holds at least one; or a letter that counts as i or s there.
+_IN_KEPT = ("ip", "http", "url", "sql", "php", "captcha", "cookie", "ı", "i\u0307", "ſ")
 _TOKEN = re.compile(r"[^\W\d_]+|0")
-WORD = re.compile(r"[^\W\d_]{4,}")
-STATUS = re.compile(r"\b[45]\d\d\b")
+_LETTERS = re.compile(r"[^\W\d_]+")
+STATUS = re.compile(r"[45](?<!\w[45])\d\d\b")
 #: Letters of a word that are compared; words of a short notice.
 STEM, SHORT = 7, 3
 
@@ -333,33 +336,89 @@ def _plain(text: str) -> str:
     return unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode().lower()
 
 
-def features(sentence: str) -> set[str]:
-    """Stems, pairs of them and the form of a sentence."""
+def _folds(page: str, apart: bool) -> tuple[bytes, bytes]:
+    """What each character of a code page is folded to, and those that are deleted; ODD for those that the patterns must decide on.
+
+    apart: whether signs that have no plain form part words, as in `words_of`, or are deleted first, as in `_tokens`.
+    """
+    to, deleted = bytearray(b" " * 256), bytearray()
+    for k in range(256):
+        ch = bytes([k]).decode(page, "replace")
+        plain = _plain(ch)
+        if apart and not _LETTERS.fullmatch(ch):
+            continue
+        if plain == "":
+            deleted.append(k)
+        elif len(plain) == 1 and (apart or _TOKEN.fullmatch(plain)):
+            to[k] = ord(plain)
+        elif apart or _TOKEN.search(plain):
+            to[k] = ODD
+    return bytes(to), bytes(deleted)
+
+
+#: Code pages that hold French and English letters and signs, one byte each; the first is read faster, the second has more signs.
+PAGES, ODD = ("latin-1", "cp1252"), 1
+_GLUED, _APART = [[(p, _folds(p, apart)) for p in PAGES] for apart in (False, True)]
+
+
+def _folded(text: str, pages: list[tuple[str, tuple[bytes, bytes]]]) -> list[str] | None:
+    """The words of a text, all its characters folded in one pass by a table; None where no table tells."""
+    for page, folds in pages:
+        try:
+            got = text.encode(page).translate(*folds)
+        except UnicodeEncodeError:
+            continue
+        return None if ODD in got else got.decode("ascii").split()
+    return None
+
+
+def words_of(text: str) -> list[str]:
+    """The runs of letters of a text, in plain lower case."""
+    got = _folded(text, _APART)
+    return [_plain(w) for w in _LETTERS.findall(text.lower())] if got is None else got
+
+
+def _tokens(text: str) -> list[str]:
+    got = _folded(text.replace("0", " 0 ") if "0" in text else text, _GLUED)
+    return _TOKEN.findall(_plain(text)) if got is None else got
+
+
+def parts(sentence: str) -> tuple[list[str], set[str]]:
+    """(stems in their order, form of a sentence and what it begins with)."""
     if sentence.isupper() and len(sentence) > 30:
         sentence = sentence.capitalize()  # names cannot be told in capitals
-    t = _KEPT.sub(lambda m: m.group().lower(), sentence.replace("’", "'"))
+    t = sentence.replace("’", "'")
     # most sentences have nothing of the kind, which is found out at less cost than by the patterns
+    if any(map(t.lower().__contains__, _IN_KEPT)):
+        t = _KEPT.sub(lambda m: m.group().lower(), t)
     numbers = _DIGIT.search(t) is not None
     if "«" in t or '"' in t or "“" in t:
         t = _QUOTED.sub(" Qq ", t)
-    if "/" in t or "\\" in t or (numbers and "-" in t) or _DOT.search(t):
+    if "/" in t or "\\" in t or (numbers and "-" in t and _DASHED.search(t)) or _DOT.search(t):
         t = _PATH.sub(" zpath ", t)
-    if numbers:
+    if numbers and _HUNDREDS.search(t):
         t = _CODE.sub(" zcode ", t)
-    t, n_first = _FIRST.subn("zname", t)
+    first = _FIRST.match(t)
+    if first:
+        t = "zname" + t[first.end() :]
     t, n_names = _NAME.subn("zname", t)
-    n_names += n_first
+    n_names += first is not None
     if numbers:
         t = _NUMBER.sub(" 0 ", t)
-    words = [w[:STEM] for w in _TOKEN.findall(_plain(t))]
+    words = [w[:STEM] for w in _tokens(t)]
     n = len(words)
-    out = {*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))}
-    out.add("<1>" if n <= 1 else "<2-3>" if n <= 3 else "<4-7>" if n <= 7 else "<8-12>" if n <= 12 else "<13-20>" if n <= 20 else "<21->")
+    out = {"<1>" if n <= 1 else "<2-3>" if n <= 3 else "<4-7>" if n <= 7 else "<8-12>" if n <= 12 else "<13-20>" if n <= 20 else "<21->"}
     out.add("<names>" if n_names > 1 else "<name>" if n_names else "<none>")
     if words:
         out.add("^" + words[0])
         out.add("^" + " ".join(words[:2]))
-    return out
+    return words, out
+
+
+def features(sentence: str) -> set[str]:
+    """Stems, pairs of them and the form of a sentence."""
+    words, out = parts(sentence)
+    return {*words, *(f"{a} {b}" for a, b in zip(words, words[1:])), *out}
 
 
 def labelled() -> list[tuple[str, bool]]:
@@ -406,14 +465,6 @@ def stems() -> frozenset[str]:
     return frozenset(f for s, _ in labelled() for f in features(s) if f[0] not in "^<" and " " not in f) - {w[:STEM] for words in short if len(words) <= SHORT for w in words}
 
 
-class Stem(dict):
-    """The stem of a word, found out once a word."""
-
-    def __missing__(self, word: str) -> str:
-        self[word] = out = _plain(word)[:STEM]
-        return out
-
-
 class _Clue(dict):
     """Whether a word speaks for a notice, found out once a word."""
 
@@ -422,7 +473,9 @@ class _Clue(dict):
         self.stems = {f for f, x in w.items() if x >= clue and len(f) > 3 and f.isalpha()}
 
     def __missing__(self, word: str) -> bool:
-        self[word] = out = _plain(word)[:STEM] in self.stems
+        out = word[:STEM] in self.stems
+        if len(self) < 100_000:
+            self[word] = out
         return out
 
 
@@ -431,41 +484,37 @@ class Judge:
 
     def __init__(self, w: dict[str, float], clue: float | None = None):
         self.w = w
+        self.pairs = {(a, b): x for f, x in w.items() if f[:1] != "^" for a, sep, b in [f.partition(" ")] if sep}
         self.clue = _Clue(w, CLUE if clue is None else clue)
-
         self.known: dict[str, float] = {}
 
-    def speaks(self, sentence: str) -> bool:
+    def speaks(self, sentence: str, words: list[str]) -> bool:
         """Whether any word speaks for a notice."""
-        return any(map(self.clue.__getitem__, WORD.findall(sentence.lower()))) or STATUS.search(sentence) is not None
-
-    def places(self, text: str, low: str, words: set[str]) -> list[int]:
-        """Where words that speak for a notice stand in the text; low: the text in lower case, words: its words."""
-        out = [m.start() for m in STATUS.finditer(text)]
-        for w in filter(self.clue.__getitem__, words):
-            at = low.find(w)
-            while at >= 0:
-                out.append(at)
-                at = low.find(w, at + len(w))
-        return sorted(out)
-
-    def score(self, sentence: str) -> float:
-        """Without a word that speaks for it, or longer than LONGEST, a sentence is no notice."""
+        return any(map(self.clue.__getitem__, words)) or STATUS.search(sentence) is not None
+
+    def score(self, sentence: str, words: list[str] | None = None) -> float:
+        """Without a word that speaks for it, or longer than LONGEST, a sentence is no notice; words: those of `words_of`."""
         if len(sentence) > LONGEST:
             return -10.0
         got = self.known.get(sentence)
         if got is None:
-            got = self._score(sentence)
+            got = self._score(sentence, words_of(sentence) if words is None else words)
             if len(sentence) <= 120 and len(self.known) < 100_000:
                 self.known[sentence] = got
         return got
 
-    def _score(self, sentence: str) -> float:
-        if not self.speaks(sentence):
+    def _score(self, sentence: str, words: list[str]) -> float:
+        if not self.speaks(sentence, words):
             return -10.0
         # a title in capital letters looks like a name, so it is judged without them as well
         forms = (sentence, sentence.lower()) if len(sentence) < 40 else (sentence,)
-        return self.w[""] + max(sum(map(self.w.__getitem__, self.w.keys() & features(x))) for x in forms)
+        return self.w[""] + max(map(self._sum, forms))
+
+    def _sum(self, sentence: str) -> float:
+        """The weights of the sentence's features, each counted once."""
+        words, form = parts(sentence)
+        form.update(words)
+        return sum(map(self.w.__getitem__, self.w.keys() & form)) + sum(map(self.pairs.__getitem__, self.pairs.keys() & set(zip(words, words[1:]))))
 
 
 def train(sentences: list[str], words: list[str]) -> dict[str, float]:
@@ -482,4 +531,5 @@ LONGEST = 300
 
 
 def form(sentence: str) -> str:
-    return " ".join(sorted(f for f in features(sentence) if " " not in f))
+    words, out = parts(sentence)
+    return " ".join(sorted({*words, *(f for f in out if " " not in f)}))

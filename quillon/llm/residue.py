@@ -55,7 +55,8 @@ _CLUES = [
     "{", "[", "<", "$", "%%", "@@", "##", "*|", "__", "......", "&lt;", "undefined", "null null", "xxx", "n/a", "tbd", "todo", "fixme", "compléter", "%_", *(f"%{x}" for x in "abcdefghijklmnopqrstuvwxyz"),
 ]
 
-_SENTENCE = re.compile(r"(?<=[.!?…»])\s+(?=[«\"(\[{<$%#@*_A-ZÀ-ÖØ-Þ0-9])")
+# the end of the sentence is looked at after its first blank: blanks are found fast
+_SENTENCE = re.compile(r"\s(?<=[.!?…»]\s)\s*(?=[«\"(\[{<$%#@*_A-ZÀ-ÖØ-Þ0-9])")
 _QUOTED = re.compile(r"«[^»]*»|“[^”]*”|\"[^\"]*\"")
 _VARIABLE = re.compile(r"\{[A-Za-z]+(?:_[A-Za-z]+)+\}|<[A-Za-z]+(?:_[A-Za-z]+)+>")
 # Features of notices in a short text, whatever its wording.
@@ -198,22 +199,6 @@ def _sentences(text: str, auto: ahocorasick.Automaton) -> list[str]:
     return out
 
 
-def sentences_at(text: str, places: list[int]) -> Iterator[str]:
-    """The sentences that hold these places (in order)."""
-    done = 0
-    for at in places:
-        if at < done:
-            continue
-        start = text.rfind("\n", 0, at) + 1
-        end = text.find("\n", at)
-        for s in _SENTENCE.split(text[start : end if end >= 0 else len(text)]):
-            start = text.find(s, start) + len(s)
-            if start > at:
-                yield s
-                break
-        done = start
-
-
 def all_sentences(text: str) -> Iterator[str]:
     for line in text.split("\n"):
         if line:
@@ -237,23 +222,25 @@ SURE, LIKELY, OPEN, PAGE, DOUBT, WORDS = 3, 2, 1, 0, -1, -2
 Candidate = tuple[str, str, int, int | None, int | None, str | None, str | None]
 
 
-def doubtful_of(text: str | None, title: str | None, judge: notices.Judge, low: str, words: set[str]) -> Iterator[tuple[str, float]]:
-    """(title or sentence, its log-odds) of those that are not surely no notice; low: the text in lower case, words: its words."""
-    said = {title} if title else set()
-    if text:
-        said.update(sentences_at(text, judge.places(text, low, words)) if len(low) == len(text) else all_sentences(text))
-    for s in said:
-        score = judge.score(s)
-        if score >= notices.SURELY_NOT:
-            yield s, score
+def doubtful_of(text: str | None, title: str | None, judge: notices.Judge) -> tuple[list[str], set[str]]:
+    """(the title and sentences that are not surely no notice, the words of the text)."""
+    out, words = [], set()
+    for s in set(all_sentences(text or "")):
+        said = notices.words_of(s)
+        words.update(said)
+        if judge.score(s, said) >= notices.SURELY_NOT:
+            out.append(s)
+    if title and judge.score(title) >= notices.SURELY_NOT and title not in out:
+        out.append(title)
+    return out, words
 
 
 def candidates_of(text: str | None, title: str | None, auto: ahocorasick.Automaton) -> list[Candidate]:
     """All possible residues of one document by itself, notices by the labelled sentences alone."""
-    low = (text or "").lower()
-    words = set(_LETTERS.findall(low))
+    judge = notices.Judge(notices.base())
+    doubtful, words = doubtful_of(text, title, judge)
     out = marks_of(text, title, auto, words)
-    if any(score >= NOTICE_AT for _, score in doubtful_of(text, title, notices.Judge(notices.base()), low, words)):
+    if any(judge.score(s) >= NOTICE_AT for s in doubtful):
         out.append(("notice", "", SURE, None, None, None, None))
     return out
 
@@ -304,7 +291,7 @@ def candidates(docs: DataFrame) -> DataFrame:
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # a word that speaks little for a notice by the labelled sentences may speak more once the model is fitted
-        auto, judge, stem, told = _automaton(), notices.Judge(shared.value, clue=0.0), notices.Stem(), notices.stems()
+        auto, judge, told = _automaton(), notices.Judge(shared.value, clue=0.0), notices.stems()
         in_texts: Counter[str] = Counter()
 
         def table(rows: list[tuple]) -> pd.DataFrame:
@@ -315,13 +302,12 @@ def candidates(docs: DataFrame) -> DataFrame:
         for pdf in pdfs:
             rows: list[tuple] = []
             for d, x, t in zip(pdf["doc_id"], pdf["text"], pdf["title"]):
-                low = (x or "").lower()
-                words = set(_LETTERS.findall(low))
-                in_texts.update(told.intersection(map(stem.__getitem__, words)))
+                doubtful, words = doubtful_of(x, t, judge)
+                in_texts.update(told.intersection([w[: notices.STEM] for w in words]))
                 in_texts[""] += 1
                 rows += [(d, *c) for c in marks_of(x, t, auto, words)]
                 said: set[int] = set()
-                for s, _ in doubtful_of(x, t, judge, low, words):
+                for s in doubtful:
                     form = _hash(notices.form(s))
                     rows.append((d, s, "", DOUBT, form, int(form not in said), None, None))
                     said.add(form)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 
+from quillon.llm import notices as N
 from quillon.llm import page_body as B
 from quillon.llm import residue as R
 
@@ -213,3 +214,21 @@ def test_words_are_counted_over_all_texts(spark):
     c = R.candidates(df)
     assert {r["template"]: r["n"] for r in c.where(c["weight"] == R.WORDS).groupBy("template").agg({"head": "sum"}).withColumnRenamed("sum(head)", "n").collect()}.items() >= {("", 1000), ("passere", 10)}
     assert R.model(c)["passere"] < R.model(c.where("template <> 'passere'"))["passere"]
+
+
+def test_ordinary_sentences_are_judged_without_costly_patterns(monkeypatch):
+    held = ["Pour le maire de Saint-Ouen, « l'œuvre » de 2025 – la page – n’existe plus à 10 %.", "Le 3 mai, le serveur de Port-Ronoane a coûté 1 200 €…"]
+    want = [N.features(s) for s in held]
+    assert {"zname", "qq", "0", "page n", "existe plus"} <= want[0] and "uvre" not in want[0]
+    judge = N.Judge(N.base(), clue=0.0)
+    for name in ("_KEPT", "_PATH", "_CODE", "_TOKEN", "_LETTERS"):
+        monkeypatch.setattr(N, name, None, raising=False)
+    assert [N.features(s) for s in held] == want
+    assert all(judge.score(s) > -10 for s in held)
+
+
+@pytest.mark.parametrize("text", ["L’œuvre d'été – 404 pages", "ﬁn de nº 3", "ab–cd m² ½ x™ a\x85b", "Сайт недоступен, cooKie ſcript", "e\u0301te\u0301 a_b c0d ٣x", "İstanbul ŸÀ ß Ð µ ªº", ""])
+def test_words_by_table_are_those_of_the_patterns(text, monkeypatch):
+    by_table = [w for w in N.words_of(text) if w], N._tokens(text), N.features(text)
+    monkeypatch.setattr(N, "_folded", lambda *_: None)
+    assert by_table == ([w for w in N.words_of(text) if w], N._tokens(text), N.features(text))
