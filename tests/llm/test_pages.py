@@ -232,3 +232,13 @@ def test_words_by_table_are_those_of_the_patterns(text, monkeypatch):
     by_table = [w for w in N.words_of(text) if w], N._tokens(text), N.features(text)
     monkeypatch.setattr(N, "_folded", lambda *_: None)
     assert by_table == ([w for w in N.words_of(text) if w], N._tokens(text), N.features(text))
+
+
+def test_each_sentence_of_a_page_is_folded_once(monkeypatch):
+    folded, words_of = [], N.words_of
+    monkeypatch.setattr(N, "words_of", lambda text: folded.append(text) or words_of(text))
+    judge = N.Judge(N.base(), clue=0.0)
+    for text in pages():
+        folded.clear()
+        _, words = R.doubtful_of(text, "Un titre", judge)
+        assert words == set(words_of(text)) and len(folded) <= len(set(R.all_sentences(text))) + 1
